@@ -7,7 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylane.llm import archive, line_dedup
+from quarrylane.llm import archive, exact_topk, jaccard_join, language_model, line_dedup, mixing, packing, quality_model, repetition, url_filter
+
+#: Fixed values of the contract of op1: (verdict, rule).
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+
+def tokenizer_path() -> str:
+    """The public byte-level tokenizer of the packing query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs by rules and, where none fits, by boosted trees."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +58,25 @@ GROUP BY doc_id
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels outside the held-out fold."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality_model.score(documents, quality_model.fit(documents, labels))
+    held_out = F.coalesce(quality_model.remainder("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenized, cut and packed into sequences."""
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 4-word shingles, 85 %."""
+    return jaccard_join.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, percent=85)
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as an archive, read back and put together again; columns come from the records read."""
     path = archive.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
@@ -75,14 +116,58 @@ FROM b
 """
 
 
+def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the suffix-array verdict of all documents."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return repetition.apply_rules(documents).drop("text")
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("int"))
+    components = F.when(exact_topk.usable(F.col("embedding")), whole)
+    return exact_topk.top_k(vectors, F.col("vec_id") % 50 == 0, components)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source weights 1, 2, 3, repeating."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    mixed, plan = mixing.mix(documents, F.array("source"))
+    rows = [(source, plan.sizes[source], plan.targets[source]) for source in plan.sizes]
+    sources = F.broadcast(spark.createDataFrame(rows, "of_source string, source_size long, target double"))
+    joined = mixed.join(sources, F.col("pattern")[0].eqNullSafe(F.col("of_source")))
+    return joined.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear scores of all documents."""
+    return language_model.score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage."""
     return {
-        "op2_line_dedup": op2_line_dedup,
-        "op6_warc_archive": op6_warc_archive,
-    }
+        f.__name__: f
+        for f in (
+            op1_url_filter, op2_line_dedup, op3_quality_classifier, op4_packing, op5_jaccard_join,
+            op6_warc_archive, op7_repetition_rules, op8_exact_topk, op9_mixing, op10_language_model,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op2_line_dedup": OP2_SQL, "op6_warc_archive": OP6_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op6_warc_archive": OP6_SQL, "op8_exact_topk": OP8_SQL}

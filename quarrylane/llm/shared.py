@@ -137,3 +137,11 @@ def shared_copy(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def key_of(*columns: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of the columns, together a 128-bit key."""
     return F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit("second"), *columns)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that only collected frames refer to; useful between settled steps."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
