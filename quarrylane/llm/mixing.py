@@ -139,59 +139,70 @@ def mix(
     seed: int = SEED,
     id_column: str = "doc_id",
     text_column: str = "text",
-    keep: tuple[str, ...] = (),
 ) -> tuple[DataFrame, MixPlan]:
-    """One row a document: ``keep`` columns, id, ``pattern``, ``size``, ``repeats`` and ``taken``; and the plan.
+    """``documents`` with ``size``, ``repeats`` and ``taken`` (words) added, and the plan.
 
     ``sources`` is an array of the sources of a row; null members count as one
-    source, and a null or empty array is that source alone.  Repeated rows are each
-    documents of their own; equal ids are ordered by their place, so results agree
-    between runs on the same files.  Documents without words are repeated as often
-    as their whole pattern is.  An empty table gives an empty mix.
+    source, and a null or empty array is that source alone.  Every row stays, also
+    one that the mix takes zero times.  Which rows are repeated once more is a
+    threshold on a seeded hash of id and size, so reruns agree, and repeated rows
+    are decided alike.  Documents without words are repeated as their pattern is.
+    Columns named like the added ones are replaced; an empty table gives an empty mix.
     """
     spark = documents.sparkSession
-    given = documents.select(
-        *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep],
-        F.col(f"`{id_column}`").alias("id"),
-        F.array_sort(F.array_distinct(F.when(F.size(sources) > 0, sources).otherwise(F.array(F.lit(None).cast("string"))))).alias("pattern"),
-        word_count(F.col(f"`{text_column}`")).alias("size"),
-    )
-    sized = settle(
-        given.withColumn("order", F.xxhash64(F.lit(seed), "id", "size")).withColumn("place", F.monotonically_increasing_id())
-    )
+    given = documents.drop("size", "repeats", "taken")
+    own = F.when(F.size(sources) > 0, sources).otherwise(F.array(F.lit(None).cast("string")))
+    words = word_count(F.col(f"`{text_column}`"))
+    work = given.withColumns({"size": words, "_pattern": F.array_sort(F.array_distinct(own))})
+    work = work.withColumn("_order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"), F.col("size")), 1))
+    sized = settle(work.select(F.col("_pattern").alias("pattern"), "size", F.col("_order").alias("order")))
     totals = sized.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     plan = plan_mix(sorted(((tuple(r["pattern"]), r["n"]) for r in totals), key=str), weights, budget, max_repeats)
-    rows = [(list(m), taken // n if n else 1, taken % n if n else 0) for m, n, taken in plan.patterns]
-    planned = F.broadcast(spark.createDataFrame(rows, "plan_pattern array<string>, whole long, rest long"))
-    one = F.shiftrightunsigned("order", 52).cast("int")
-    two = F.shiftrightunsigned("order", 40).bitwiseAND(BUCKETS - 1).cast("int")
-    spread = sized.join(planned, F.col("pattern") == F.col("plan_pattern")).drop("plan_pattern").withColumns({"one": one, "two": two})
-
-    def border(df: DataFrame, level: str, rest: str) -> DataFrame:
-        """The bucket of each pattern in which the words to take end, and the words left for it."""
-        counted = df.groupBy("pattern", level, rest).agg(F.sum("size").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("pattern").orderBy(level)) - F.col("n")
-        ends = counted.withColumn("before", before).where((F.col("before") < F.col(rest)) & (F.col(rest) <= F.col("before") + F.col("n")))
-        found = ends.select("pattern", level, (F.col(rest) - F.col("before")).alias("left")).collect()
-        schema = f"border_pattern array<string>, border_{level} int, left_{level} long"
-        return F.broadcast(spark.createDataFrame([tuple(r) for r in found], schema))
-
-    by_one = border(spread, "one", "rest")
-    at_one = spread.join(by_one, F.col("pattern") == F.col("border_pattern"), "left").drop("border_pattern")
-    inside = at_one.where(F.col("one") == F.col("border_one"))
-    by_two = border(inside, "two", "left_one")
-    at_two = at_one.join(by_two, F.col("pattern") == F.col("border_pattern"), "left").drop("border_pattern")
-    run = Window.partitionBy("pattern", "one", "two").orderBy("order", "id", "place")
-    before = F.sum("size").over(run) - F.col("size")
-    extra = (
-        F.when(F.col("border_one").isNull(), False)
-        .when(F.col("one") != F.col("border_one"), F.col("one") < F.col("border_one"))
-        .when(F.col("two") != F.col("border_two"), F.col("two") < F.col("border_two"))
-        .otherwise(2 * F.col("before") + F.col("size") <= 2 * F.col("left_two"))
-    )
-    mixed = at_two.withColumn("before", before).withColumn("repeats", F.col("whole") + extra.cast("long"))
-    own = [] if id_column in keep else [F.col("id").alias(id_column)]
-    taken = (F.col("size") * F.col("repeats")).alias("taken")
-    return mixed.select(*[F.col(f"keep_{c}").alias(c) for c in keep], *own, "pattern", "size", "repeats", taken), plan
+    whole = {m: taken // n if n else 1 for m, n, taken in plan.patterns}
+    rest = {m: taken % n for m, n, taken in plan.patterns if n and taken % n}
+    upto = _thresholds(sized, rest)
+    rows = [(list(m), whole[m], upto.get(m, -1)) for m in whole]
+    planned = F.broadcast(spark.createDataFrame(rows, "_plan_pattern array<string>, _whole long, _upto long"))
+    joined = work.join(planned, F.col("_pattern") == F.col("_plan_pattern"))
+    mixed = joined.withColumn("repeats", F.col("_whole") + (F.col("_order") <= F.col("_upto")).cast("long"))
+    mixed = mixed.withColumn("taken", F.col("size") * F.col("repeats"))
+    return mixed.select(*[F.col(f"`{c}`") for c in given.columns], "size", "repeats", "taken"), plan
+
+
+def _thresholds(sized: DataFrame, rest: dict[tuple, int]) -> dict[tuple, int]:
+    """For each pattern the largest order whose rows come nearest to ``rest`` words.
+
+    The 63 bits of the order are narrowed 12 at a time; a step sums sizes by bucket
+    within the bucket found before, so at most ``BUCKETS`` rows a pattern are ordered
+    in one place.  Two steps leave one row in sixteen million to the last.
+    """
+    if not rest:
+        return {}
+    spark = sized.sparkSession
+    floor = {m: -1 for m in rest}
+    left = dict(rest)
+    inside = sized
+    for shift in (51, 39):
+        bounds = [(list(m), floor[m], left[m]) for m in left]
+        wanted = F.broadcast(spark.createDataFrame(bounds, "of array<string>, at long, words long"))
+        near = inside.drop("of", "at", "words").join(wanted, F.col("pattern") == F.col("of"))
+        if shift != 51:
+            near = near.where(F.shiftrightunsigned("order", shift + 12) == F.col("at"))
+        bucket = F.shiftrightunsigned("order", shift)
+        sums = near.groupBy("pattern", "words", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n")
+        ends = sums.withColumn("before", before).where("before < words AND words <= before + n").collect()
+        for r in ends:
+            m = tuple(r["pattern"])
+            floor[m], left[m] = r["bucket"], r["words"] - r["before"]
+        inside = near
+    bounds = [(list(m), floor[m], left[m]) for m in left]
+    wanted = F.broadcast(spark.createDataFrame(bounds, "of array<string>, at long, words long"))
+    near = sized.join(wanted, F.col("pattern") == F.col("of")).where(F.shiftrightunsigned("order", 39) == F.col("at"))
+    ties = near.groupBy("pattern", "words", "order").agg(F.sum("size").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("pattern").orderBy("order")) - F.col("n")
+    fits = ties.withColumn("before", before).where("2 * before + n <= 2 * words")
+    last = {tuple(r["pattern"]): r["last"] for r in fits.groupBy("pattern").agg(F.max("order").alias("last")).collect()}
+    return {m: last.get(m, (floor[m] << 39) - 1) for m in left}

@@ -148,7 +148,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, plan = mixing.mix(documents, F.array("source"))
     rows = [(source, plan.sizes[source], plan.targets[source]) for source in plan.sizes]
     sources = F.broadcast(spark.createDataFrame(rows, "of_source string, source_size long, target double"))
-    joined = mixed.join(sources, F.col("pattern")[0].eqNullSafe(F.col("of_source")))
+    joined = mixed.join(sources, F.col("source").eqNullSafe(F.col("of_source")))
     return joined.select("doc_id", "size", "source_size", "target", "taken")
 
 
