@@ -19,16 +19,25 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
         _ORACLES[name] = oracle
 
 
+def _load() -> None:
+    """Imports the modules that register queries."""
+    from quarrylane.plans import aggregates, execution, relational, text  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of the engine."""
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The oracle SQL of the queries that have one."""
+    _load()
     return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that ``entry`` runs."""
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    from quarrylane.plans import execution
+
+    return execution.flagship(spark, sf_dir)
