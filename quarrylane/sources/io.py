@@ -31,10 +31,10 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_csv_text(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """CSV with a header, all columns text, cells with line ends kept whole, blanks as empty texts."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\x00").option("emptyValue", "")
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     if columns:
         reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
-    return reader.csv(path)
+    return reader.csv(path).na.fill("")
 
 
 def keyed(rows: DataFrame, id_: str = "id") -> DataFrame:
@@ -77,8 +77,7 @@ def chat_parts(text: Column) -> tuple[Column, Column]:
 
 def number(value: Column) -> Column:
     """A finite number, or null for blank or junk."""
-    parsed = F.expr("1") * F.lit(1.0)
-    parsed = value.try_cast("double") if hasattr(value, "try_cast") else parsed
+    parsed = value.try_cast("double")
     return F.when(~F.isnan(parsed) & (F.abs(parsed) != float("inf")), parsed)
 
 
