@@ -189,12 +189,14 @@ def cell_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, righ
 
 def _product(members: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """(a, b) links among ``members`` of the same component of ``candidates``, enough to connect what is linked."""
-    joined = members.join(candidates.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
-    joined = settle(joined)
-    weight = joined.groupBy("component").agg(F.count("*").alias("documents"), F.sum("n").alias("weight"))
+    placed = candidates.withColumnRenamed("node", "of")
+    sizes = members.select("node", "n").join(placed, F.col("node") == F.col("of"))
+    weight = sizes.groupBy("component").agg(F.count("*").alias("documents"), F.sum("n").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("documents") / BLOCK_DOCUMENTS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    weight = settle(weight.select(F.col("component").alias("of"), blocks.alias("blocks")))
-    dealt = joined.join(weight, F.col("component") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    weight = settle(weight.select(F.col("component").alias("of_component"), blocks.alias("blocks")))
+    # Blocks are found on small rows; the sets join by node, which no component makes uneven.
+    block_of = placed.join(weight, F.col("component") == F.col("of_component")).select("of", "component", "blocks")
+    dealt = members.join(block_of, F.col("node") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "shingles"
     )
@@ -268,16 +270,19 @@ def jaccard_components(
         .select(F.col("shingle").alias("of_shingle"), F.col("band").alias("of_band"), "head")
     )
     stars = posted.join(heads, (F.col("shingle") == F.col("of_shingle")) & (F.col("band") == F.col("of_band")))
-    candidates = settle(components(stars.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()))
+    candidates = components(stars.select(F.col("node").alias("a"), F.col("head").alias("b")))
     release(spark)
 
     links = settle(_product(members, candidates, percent))
-    groups = settle(components(links))
+    groups = components(links)
     release(spark)
-    of_nodes = smallest.join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").drop("of")
-    named = settle(of_nodes.withColumn("component", F.coalesce("component", "node")))
-    least = settle(named.groupBy("component").agg(F.min("smallest").alias("component_id")).withColumnRenamed("component", "of"))
-    final = settle(named.join(least, F.col("component") == F.col("of")).select(F.col("node").alias("of_node"), F.col("n").alias("of_n"), "component_id"))
+    grouped = smallest.join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("of", "component", "smallest")
+    least = grouped.groupBy("component").agg(F.min("smallest").alias("least")).withColumnRenamed("component", "of_component")
+    named = grouped.join(least, F.col("component") == F.col("of_component")).select("of", "least")
+    final = smallest.join(named, F.col("node") == F.col("of"), "left").select(
+        F.col("node").alias("of_node"), F.col("n").alias("of_n"), F.coalesce("least", "smallest").alias("component_id")
+    )
+    final = settle(final)
     joined = rows.join(final, (F.col("node") == F.col("of_node")) & (F.col("n_shingles") == F.col("of_n")), "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
