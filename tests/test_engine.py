@@ -283,3 +283,64 @@ def test_chat_parts_and_pool(spark):
     assert tuple(df.select(q, a).first()) == ("How many?", "SELECT 1;")
     pool = io.retrieval_pool(df, "i").collect()
     assert [(r["id"], r["gold_sql"]) for r in pool] == [("RET_000000", "SELECT 2")]
+
+
+def test_streaming_upsert(spark, tmp_path):
+    from quarrylane.streaming import upsert
+
+    rows = [("r", 1, 1.0, None), ("r", 2, None, 5.0), ("s", 1, 3.0, None), ("r", 3, 2.0, None)]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], "run string, seq long, loss double, acc double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("run string, seq long, loss double, acc double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = upsert.start(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["run"], "seq", ["loss", "acc"])
+    query.awaitTermination(120)
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir() if p.name.startswith("version="))
+    found = {r["run"]: (r["seq"], r["loss"], r["acc"]) for r in spark.read.parquet(str(tmp_path / "out" / f"version={last}")).collect()}
+    assert found == {"r": (3, 2.0, 5.0), "s": (1, 3.0, None)}
+
+
+def test_text_scanners():
+    from quarrylane.functions import textscan as t
+
+    assert t.without_comments("a -- b\n'--' /* x */ c").value == "a  \n'--'   c"
+    assert t.without_comments("a 'b").error and t.without_comments("a /* b").error
+    assert t.normalized("SELECT  A, 'B' ;;").value == "select a , 'b'" and t.exact(" SELECT A; -- x").value == "SELECT A"
+    assert t.completion("<think>x</think> so: SELECT a FROM t").value == "SELECT a FROM t;"
+    assert all(t.completion(x).error for x in ("", "nothing", "SELECT 1; SELECT 2", "SELECT ``` a"))
+    assert t.longest_adjacent_repeat(list("abcabcabcx")) == 6 and t.longest_adjacent_repeat([]) == 0
+    assert t.compression_ratio(b"") == 1.0 and t.compression_ratio(b"a" * 1000) < 0.1
+    f = t.lexical_features("SELECT a, count(*) FROM t JOIN u ON x = y WHERE a > 1 AND b IS NULL GROUP BY a", "how many of each", 2, 5)
+    assert (f["join_count"], f["referenced_table_count"], f["selected_column_count"], f["where_condition_count"], f["complexity_class"]) == (1, 2, 2, 2, "moderate")
+    assert t.lexical_features("SELECT 'a", "", 0, 0) is None
+    tree = {"select": [], "from": {"table_units": [["table_unit", 0], ["table_unit", 1]]}, "where": [{"select": [], "from": {"table_units": []}}]}
+    assert dict(t.ast_counts(tree)) == {"select_nodes": 2, "subqueries": 1, "table_units": 2}
+
+
+def test_component_split(spark):
+    from quarrylane.operators import splits
+
+    rows = [(i, i // 3 * 3 if i < 60 else i, "x" if i < 60 else "y") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, component long, signature string")
+    forced = spark.createDataFrame([(0,)], "component long")
+    found = splits.select_components(df, "component", "signature", "id", 50, "seed", forced).collect()
+    chosen = [r for r in found if r["selected"]]
+    assert len(found) == 100 and len(chosen) == 50 and not any(r["component"] == 0 for r in chosen)
+    by = Counter(r["component"] for r in chosen)
+    assert all(n == (3 if c < 60 else 1) for c, n in by.items())
+    with pytest.raises(ValueError):
+        splits.component_quotas({("a", 3): 2}, 4)
+
+
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 9), max_size=8))
+@settings(deadline=None)
+def test_best_fit_statistics(histogram):
+    from quarrylane.operators import splits
+
+    found = splits.best_fit_packing(histogram, 20)
+    rooms: list[int] = []
+    for length in sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True):
+        best = min((r for r in rooms if r >= length), default=None)
+        if best is not None:
+            rooms.remove(best)
+        rooms.append((20 if best is None else best) - length)
+    assert found["packs"] == len(rooms) and found["boundaries"] == sum(histogram.values()) - len(rooms)
