@@ -300,7 +300,7 @@ register(
 
 def win8(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return sampling.priority_fill(d, (F.col("lang") == "es"), F.col("n_chars") > 3000, "doc_id", 600, 0.4, "11").select("doc_id", "selection_bucket")
+    return sampling.priority_fill(d, (F.col("lang") == "es"), F.col("n_chars") > 3000, "doc_id", 3 * d.count() // 5, 0.4, "11").select("doc_id", "selection_bucket")
 
 
 register("win8_priority_fill", win8)

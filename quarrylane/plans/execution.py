@@ -48,6 +48,10 @@ register("exe1_set6_exec_match", exec_matches, SUITE_SQL)
 register("flagship_exec_match_accuracy", flagship, f"SELECT count(*) AS cases, count(*) FILTER (WHERE exec_match) AS matches, round(avg(CAST(exec_match AS INTEGER)), 6) AS ema FROM ({SUITE_SQL})")
 
 
+#: Scores have nine digits; rounding them again would meet half-way cases, so millionths are cut.
+MICRO = lambda score: F.floor(score * 1000000)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("group"), F.col("embedding").alias("vector"))
 
@@ -62,8 +66,8 @@ SCORES = (
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"
 )
 register(
-    "jn8_vector_top_k", lambda spark, sf_dir: neighbours(spark, sf_dir, 10).withColumn("score", F.round("score", 6)),
-    f"WITH {SCORES} SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10",
+    "jn8_vector_top_k", lambda spark, sf_dir: neighbours(spark, sf_dir, 10).withColumn("score", MICRO(F.col("score"))),
+    f"WITH {SCORES} SELECT query_id, rank, id, CAST(floor(score * 1000000) AS BIGINT) AS score FROM r WHERE rank <= 10",
 )
 register(
     "jn9_self_neighbours",
@@ -118,12 +122,12 @@ def win1(spark: SparkSession, sf_dir: str) -> DataFrame:
     bonus = F.when(F.col("ql") == F.col("pl"), 0.08).otherwise(-0.04)
     x = with_labels(spark, sf_dir, 10).withColumn("final", F.round(F.col("score") + bonus, 9))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final"), F.desc("score"), "rank", "id"))
-    return x.withColumn("place", place.cast("long")).select("query_id", "place", "id", F.round("final", 6).alias("final"))
+    return x.withColumn("place", place.cast("long")).select("query_id", "place", "id", MICRO(F.col("final")).alias("final"))
 
 
 register(
     "win1_rerank", win1,
-    f"WITH {SCORES}, f AS (SELECT *, round(score + CASE WHEN ql = pl THEN 0.08::DOUBLE ELSE -0.04::DOUBLE END, 9) AS f FROM r WHERE rank <= 10) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, score DESC, rank, id) AS place, id, round(f, 6) AS final FROM f",
+    f"WITH {SCORES}, f AS (SELECT *, round(score + CASE WHEN ql = pl THEN 0.08::DOUBLE ELSE -0.04::DOUBLE END, 9) AS f FROM r WHERE rank <= 10) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, score DESC, rank, id) AS place, id, CAST(floor(f * 1000000) AS BIGINT) AS final FROM f",
 )
 register(
     "win3_distinct_top",
@@ -136,12 +140,12 @@ def flt5(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = neighbours(spark, sf_dir, 3).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("s")).select("query_id", F.transform("s", lambda x: x["score"]).alias("scores"))
     return best.select(
         "query_id", retrieval.gate(F.try_element_at("scores", F.lit(1)), 0.7).alias("first_gate"), retrieval.set_minimum_gate(F.col("scores"), 3, 0.7).alias("minimum_gate"),
-        F.round(F.array_min("scores"), 6).alias("gate_score"))
+        MICRO(F.array_min("scores")).alias("gate_score"))
 
 
 register(
     "flt5_flt6_gates", flt5,
-    f"WITH {SCORES} SELECT query_id, CASE WHEN max(score) >= 0.7 THEN 'fewshot' ELSE 'zero_shot' END AS first_gate, CASE WHEN min(score) >= 0.7 THEN 'fewshot' ELSE 'zero_shot' END AS minimum_gate, round(min(score), 6) AS gate_score FROM r WHERE rank <= 3 GROUP BY query_id",
+    f"WITH {SCORES} SELECT query_id, CASE WHEN max(score) >= 0.7 THEN 'fewshot' ELSE 'zero_shot' END AS first_gate, CASE WHEN min(score) >= 0.7 THEN 'fewshot' ELSE 'zero_shot' END AS minimum_gate, CAST(floor(min(score) * 1000000) AS BIGINT) AS gate_score FROM r WHERE rank <= 3 GROUP BY query_id",
 )
 register(
     "agg19_match_rates",
