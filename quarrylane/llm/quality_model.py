@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.shared import Words, finish, settle, slices, text_buffers
+from quarrylane.llm.shared import Words, finish, first_by_hash, settle, slices, text_buffers
 
 #: Bound of the labelled sample: documents of each class, the first by a hash of their ids.
 MAX_TRAIN_PER_CLASS = 2500
@@ -137,8 +137,9 @@ def labelled_sample(
         .join(documents.select(F.col(f"`{id_column}`").alias("id")), "id", "left_semi")
     )
     usable = settle(usable.select("id", "label"))
-    chosen = [usable.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
-    ids = {row["id"]: row["label"] for part in chosen for row in part.collect()}
+    totals = {row["label"]: row["n"] for row in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    chosen = [first_by_hash(usable.where(F.col("label") == c), F.xxhash64("id"), ["id"], per_class, n) for c, n in totals.items()]
+    ids = {row["id"]: row["label"] for part in chosen for row in part}
     if not ids:
         return []
     shared = spark.sparkContext.broadcast(ids)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the contracts: ASCII white space as a Java character class and as a set of characters.
@@ -151,3 +151,18 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table written by ``shared_copy``, on whatever file system it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def first_by_hash(rows: DataFrame, hashed: Column, ties: list[str], most: int, total: int) -> list[Row]:
+    """The ``most`` rows (of ``total``) with the smallest 64-bit hashes, in that order.
+
+    Only rows under a threshold that twice as many are expected to pass reach the
+    driver, however many tasks there are; without enough of them all rows compete.
+    """
+    picked = lambda df: df.orderBy(hashed, *ties).limit(most).collect()
+    if total > 4 * most:
+        threshold = -(1 << 63) + int((1 << 64) * 2 * most / total)
+        found = picked(rows.where(hashed < threshold))
+        if len(found) == most:
+            return found
+    return picked(rows)

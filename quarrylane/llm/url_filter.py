@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.shared import ascii_lower
+from quarrylane.llm.shared import ascii_lower, first_by_hash
 
 #: Bound of the labelled sample: URLs of each verdict, the first by hash.
 MAX_TRAIN_PER_VERDICT = 10_000
@@ -178,15 +178,18 @@ def fit(urls: DataFrame, per_verdict: int = MAX_TRAIN_PER_VERDICT) -> UrlModel:
     URLs of each verdict, the first by hash.  Without labels of both kinds there
     are no trees and the prior decides.
     """
-    table = np.zeros((2, SUFFIX_BUCKETS, 2))
+    table, labelled = np.zeros((2, SUFFIX_BUCKETS, 2)), [0, 0]
     for k, column in enumerate(("_one", "_two")):
         for row in urls.groupBy(column).agg(F.count("*").alias("n"), F.count("_blocked").alias("labelled"), F.sum("_blocked").alias("blocked")).collect():
-            table[k, row[column]] = math.log1p(row["n"]), ((row["blocked"] or 0) + 1) / (row["labelled"] + 2)
+            blocked = row["blocked"] or 0
+            table[k, row[column]] = math.log1p(row["n"]), (blocked + 1) / (row["labelled"] + 2)
+            if k == 0:
+                labelled = [labelled[0] + row["labelled"] - blocked, labelled[1] + blocked]
     columns = ["_url", "_host", "_path", "_one", "_two", "_blocked"]
     rows = []
     for verdict in (0, 1):
         of = urls.where(F.col("_blocked") == verdict).select(*columns)
-        rows += of.orderBy(F.xxhash64("_url"), "_url").limit(per_verdict).collect()
+        rows += first_by_hash(of, F.xxhash64("_url"), ["_url"], per_verdict, labelled[verdict])
     model = UrlModel(0.0, [], table)
     if not rows:
         return model

@@ -146,3 +146,12 @@ def test_top_k_odd(spark):
     found = exact_topk.top_k(df, F.col("vec_id") % 50 == 0, parts).collect()
     assert [tuple(r) for r in found] == [(0, 1, 5, 256 * 128 - 512 * 256)]
     assert exact_topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0, parts).collect() == []
+
+
+def test_first_by_hash_is_the_plain_order(spark):
+    from quarrylane.llm.shared import first_by_hash
+
+    rows = spark.range(5000).withColumn("k", F.col("id") % 4000)
+    plain = rows.orderBy(F.xxhash64("k"), "id").limit(50).collect()
+    assert first_by_hash(rows, F.xxhash64("k"), ["id"], 50, 5000) == plain
+    assert first_by_hash(rows, F.xxhash64("k"), ["id"], 50, 10**9) == plain
