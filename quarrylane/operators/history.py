@@ -18,22 +18,19 @@ def upsert(rows: DataFrame, key: list[str], order: str, values: list[str]) -> Da
 
 
 def smoothed(rows: DataFrame, by: list[str], order: str, value: str, alpha: float) -> DataFrame:
-    """``rows`` with ``ema``: the exponential moving average within each group, a fold over its ordered values."""
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(order, value))),
-        F.array().cast("array<struct<o:double,e:double>>"),
-        lambda acc, x: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    x[order].cast("double").alias("o"),
-                    F.when(F.size(acc) == 0, x[value]).otherwise(alpha * x[value] + (1 - alpha) * F.element_at(acc, -1)["e"]).alias("e"),
-                )
-            ),
-        ),
-    )
-    out = rows.groupBy(*by).agg(fold.alias("f")).select(*by, F.explode("f").alias("f"))
-    return out.select(*by, F.col("f.o").cast("long").alias(order), F.col("f.e").alias("ema"))
+    """(by, order, ema): the exponential moving average within each group, in one pass over its ordered values.
+
+    A group is one run's history, which one task holds; missing values are left out.
+    """
+    import pandas as pd
+
+    def smooth(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([order, value])
+        return group[[*by, order]].assign(ema=group[value].ewm(alpha=alpha, adjust=False).mean())
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, order)) + ", ema double"
+    return rows.select(*by, order, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()).groupBy(*by).applyInPandas(smooth, schema)
 
 
 def last_at_or_before(points: DataFrame, events: DataFrame, by: str, order: str, value: str) -> DataFrame:

@@ -73,8 +73,10 @@ def with_quotas(rows: DataFrame, quotas: dict, group: str, order: Column, id_: s
     spark = rows.sparkSession
     table = spark.createDataFrame([(k, int(n)) for k, n in quotas.items()], f"_group {dict(rows.dtypes)[group]}, _quota long")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order, id_))
-    joined = rows.join(table, F.col(group).eqNullSafe(F.col("_group")))
-    return joined.withColumn("_rank", rank).where("_rank <= _quota").drop("_group", "_quota", "_rank")
+    # The constant bound lets every task keep only so many rows of a group before the shuffle.
+    ranked = rows.withColumn("_rank", rank).where(F.col("_rank") <= max(quotas.values(), default=0))
+    joined = ranked.join(F.broadcast(table), F.col(group).eqNullSafe(F.col("_group")))
+    return joined.where("_rank <= _quota").drop("_group", "_quota", "_rank")
 
 
 def stratified(rows: DataFrame, group: str, id_: str, n: int, scope: str) -> DataFrame:
@@ -100,7 +102,7 @@ def priority_fill(rows: DataFrame, rare: Column, aggregation: Column, id_: str,
     simple = min(target - n("rare") - first, n("simple"))
     extra = target - n("rare") - first - simple
     rank = F.row_number().over(Window.partitionBy("_kind").orderBy(stable_key(F.lit(seed), F.col(id_).cast("string")), id_))
-    chosen = placed.withColumn("_rank", rank).withColumn(
+    chosen = placed.withColumn("_rank", rank).where(F.col("_rank") <= target).withColumn(
         "selection_bucket",
         F.when(F.col("_kind") == "rare", "rare_complexity")
         .when((F.col("_kind") == "aggregation") & (F.col("_rank") <= first), "aggregation_fill")
