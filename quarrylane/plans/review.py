@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +10,7 @@ from pyspark.sql.window import Window
 from quarrylane.functions import normalize as N
 from quarrylane.functions import schematext as T
 from quarrylane.functions import sqlfeatures as S
+from quarrylane.functions import textscan
 from quarrylane.operators import overlap, splits, statistics
 from quarrylane.plans import text as P
 from quarrylane.plans.aggregates import LAB, TAIL, labelled
@@ -216,3 +218,34 @@ def win14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("win14_win15_component_split", win14)
+
+
+def fea4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexer features of the gold statements."""
+    names = {"join_count": "long", "join_bin": "string", "subquery": "boolean", "set_operation": "boolean", "where": "boolean", "where_condition_count": "long",
+             "literal_count": "long", "sql_token_length": "long", "selected_column_count": "long", "rare_complexity": "boolean", "complexity_class": "string"}
+
+    def batch(sql: pd.Series, question: pd.Series) -> pd.DataFrame:
+        rows = [textscan.lexical_features(s, q, 0, 0) for s, q in zip(sql, question)]
+        return pd.DataFrame([{n: r[n] for n in names} for r in rows], columns=list(names))
+
+    found = F.pandas_udf(batch, ", ".join(f"`{n}` {t}" for n, t in names.items()))("gold_sql", "question")
+    return cases(spark).select("id", found.alias("f")).select("id", "f.*")
+
+
+def _lexer_sql() -> str:
+    pattern = textscan._TOKEN.pattern.replace("'", "''")
+    n = lambda *words: f"len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in words)})))"
+    joins, nested, sets = n("join"), f"{n('select')} > 1", f"{n('union', 'intersect', 'except')} > 0"
+    rare = f"({joins} > 0 OR {nested} OR {sets} OR {n('group', 'having', 'order', 'limit', 'distinct')} > 0)"
+    calls = "len(list_filter(range(1, len(t)), lambda i: t[i] IN ('count', 'sum', 'avg', 'min', 'max') AND t[i + 1] = '(')) > 0"
+    listed = "t[list_position(t, 'select') + 1 : list_position(t, 'from') - 1]"
+    return f"""WITH {CTE}, x AS (SELECT id, list_transform(regexp_extract_all(gold_sql, '{pattern}'), lambda x: lower(x)) AS t FROM cases),
+    y AS (SELECT *, CASE WHEN list_contains(t, 'where') THEN t[list_position(t, 'where') + 1 :] ELSE [] END AS w FROM x)
+    SELECT id, {joins} AS join_count, CASE WHEN {joins} > 1 THEN '2+' ELSE CAST({joins} AS VARCHAR) END AS join_bin, {nested} AS subquery, {sets} AS set_operation, list_contains(t, 'where') AS "where",
+    CASE WHEN len(w) > 0 THEN 1 + len(list_filter(w, lambda x: x IN ('and', 'or'))) ELSE 0 END AS where_condition_count, len(list_filter(t, lambda x: regexp_matches(x, '^[''"0-9]'))) AS literal_count,
+    len(t) AS sql_token_length, CASE WHEN list_contains(t, 'select') AND list_contains(t, 'from') AND len({listed}) > 0 THEN 1 + len(list_filter({listed}, lambda x: x = ',')) ELSE 0 END AS selected_column_count,
+    {rare} AS rare_complexity, CASE WHEN {joins} >= 2 OR {nested} OR {sets} OR {n('having')} > 0 THEN 'complex' WHEN {rare} OR {calls} THEN 'moderate' ELSE 'simple' END AS complexity_class FROM y"""
+
+
+register("fea4_lexical_features", fea4, _lexer_sql())
