@@ -272,5 +272,5 @@ def score(documents: DataFrame, folds: int = 7, held_out_fold: int = 2, id_colum
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + more - F.col("n_tokens") * log_total).alias("base_score"),
-        (F.col("model") + more - F.lit(0.0)).alias("score"),
+        (F.col("model") + more).alias("score"),
     )
