@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylane.operators.lineage import settled
+
 
 def first_wins(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key; nulls are a key value like any other."""
@@ -25,12 +27,12 @@ def greedy_sequential(rows: DataFrame, order: str, first: str, second: str) -> D
     in both its groups is kept; every row that shares a key with a kept one is gone;
     the rest go on.  Equal to the sequential scan, in few rounds.
     """
-    left, kept = rows.checkpoint(), None
+    left, kept = settled(rows), None
     while not left.isEmpty():
         firsts = left.withColumn("_a", F.min(order).over(Window.partitionBy(first))).withColumn("_b", F.min(order).over(Window.partitionBy(second)))
-        taken = firsts.where((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b"))).drop("_a", "_b").checkpoint()
+        taken = settled(firsts.where((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b"))).drop("_a", "_b"))
         kept = taken if kept is None else kept.unionByName(taken)
         for key in (first, second):
             left = left.join(taken.select(F.col(key).alias("_key")).distinct(), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
-        left = left.checkpoint()
+        left = settled(left)
     return kept if kept is not None else rows.limit(0)

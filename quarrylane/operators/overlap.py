@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylane.operators.lineage import settled
+
 KINDS = ("id", "question", "sql", "pair")
 
 
@@ -70,14 +72,14 @@ def components(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     share is no hot spot.
     """
     edges = long_keys(rows, kinds).where("value IS NOT NULL").select("id", F.xxhash64("kind", "value").alias("key")).distinct()
-    edges = edges.checkpoint()
-    labels = rows.select("id", F.col("id").alias("label")).distinct().checkpoint()
+    edges = settled(edges)
+    labels = settled(rows.select("id", F.col("id").alias("label")).distinct())
     while True:
         by_key = edges.join(labels, "id").groupBy("key").agg(F.min("label").alias("least"))
         reached = edges.join(by_key, "key").groupBy("id").agg(F.min("least").alias("least"))
         nearer = labels.join(reached, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("least", "label")).alias("label"))
         jump = nearer.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        after = nearer.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("further", "label")).alias("label")).checkpoint()
+        after = settled(nearer.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
         if after.where("label <> was").isEmpty():
             return after.select("id", F.col("label").alias("component"))
         labels = after.select("id", "label")

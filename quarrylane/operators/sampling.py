@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylane.functions.sqlfeatures import stable_key
+from quarrylane.operators.lineage import settled
 
 
 def first_by_hash(rows: DataFrame, seed: str, id_: str, n: int) -> DataFrame:
@@ -121,7 +122,7 @@ def buckets_without_replacement(rows: DataFrame, id_: str, buckets: list[tuple[s
     left, parts, taken = rows, [], 0
     for name, condition, score, n in [*buckets, ("fallback", F.lit(True), F.lit(0.0), None)]:
         n = total - taken if n is None else min(n, total - taken)
-        part = left.where(condition).orderBy(F.desc(score), id_).limit(n).withColumn("selection_bucket", F.lit(name)).checkpoint()
+        part = settled(left.where(condition).orderBy(F.desc(score), id_).limit(n).withColumn("selection_bucket", F.lit(name)))
         taken += part.count()
         parts.append(part)
         left = left.join(part.select(F.col(id_).alias("_taken")), F.col(id_) == F.col("_taken"), "left_anti")
