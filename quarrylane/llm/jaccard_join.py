@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylane.llm.components import components
-from quarrylane.llm.shared import Words, finish, release, settle, slices, text_buffers
+from quarrylane.llm.shared import Words, finish, give_back, release, settle, slices, text_buffers
 
 #: What near-duplicate operators take unless a contract says otherwise.
 SHINGLE_WORDS = 5
@@ -39,7 +39,7 @@ PERCENT = 80
 
 #: The first filter looks at shingles whose hash is divisible by this.
 SAMPLE = 4
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bounds of a block of documents in a large component, and columns multiplied at once.
 BLOCK_DOCUMENTS = 128
 BLOCK_SHINGLES = 400_000
@@ -85,6 +85,8 @@ def _over_sets(documents: DataFrame, text_column: str, size: int, keep: str | No
             for first in range(0, len(keys), 512):
                 part = keys[first : first + 512]
                 yield emit(part, [next(sets) for _ in part])
+            del data, offsets, sets
+            give_back()
 
     key = F.col(f"`{keep}`").cast("long") if keep else F.lit(None).cast("long")
     return documents.select(key.alias("key"), F.col(f"`{text_column}`").alias("text")).mapInArrow(mapped, schema)

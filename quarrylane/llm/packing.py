@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylane.llm.shared import settle
+from quarrylane.llm.shared import give_back, settle
 
 SEQUENCE_LENGTH = 2048
 END_ID = 1
 #: Groups of one length get ranks salt by salt; a salt group must fit one task.
 SALTS = 1024
 #: Encoded pre-tokens kept by a worker before its cache starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Texts of these characters only are split by a plain class pattern; all others go to the tokenizer whole.
@@ -49,10 +50,9 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -66,6 +66,13 @@ class Encoder(dict):
         self.pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, loaded when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
@@ -80,9 +87,6 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def cut_pieces(
     documents: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", length: int = SEQUENCE_LENGTH
 ) -> DataFrame:
@@ -93,9 +97,8 @@ def cut_pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = Encoder(tokenizer_path)
-        encoder, end = _encoders[tokenizer_path], np.array([END_ID], "<u4").tobytes()
+        # One for the task: an idle worker keeps no vocabulary and no cache.
+        encoder, end = Encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = ([], [], [], [], [])
             for key, text in zip(batch.column(0), batch.column(1)):
@@ -108,6 +111,8 @@ def cut_pieces(
                 [pa.array(out[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in out[1:])],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
+        del encoder
+        give_back()
 
     key = F.col(f"`{id_column}`").cast("long")
     return documents.select(key.alias("doc_id"), F.col(f"`{text_column}`").alias("text")).mapInArrow(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.shared import Words, finish, first_by_hash, settle, slices, text_buffers
+from quarrylane.llm.shared import Words, finish, first_by_hash, give_back, settle, slices, text_buffers
 
 #: Bound of the labelled sample: documents of each class, the first by a hash of their ids.
 MAX_TRAIN_PER_CLASS = 2500
@@ -30,7 +30,7 @@ BUCKET_BITS = 17
 DIMENSIONS = 12
 EPOCHS = 12
 CHAR_SIZES = (3, 5)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -166,9 +166,15 @@ def labelled_sample(
         .mapInArrow(extracted, "id long, buckets binary, shares binary")
         .collect()
     )
-    rows = sorted({(r["id"], bytes(r["buckets"]), bytes(r["shares"])) for r in rows})
-    examples = [(ids[k], np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for k, b, s in rows]
-    return [e for e in examples if len(e[1])]
+    # Rows go as they are taken over, so that the sample is in memory once.
+    found = []
+    while rows:
+        row = rows.pop()
+        if len(row["buckets"]):
+            found.append((row["id"], bytes(row["buckets"]), bytes(row["shares"])))
+    found.sort()
+    once = [e for i, e in enumerate(found) if not i or e != found[i - 1]]
+    return [(ids[k], np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for k, b, s in once]
 
 
 def fit(
@@ -197,7 +203,10 @@ def score(documents: DataFrame, model: QualityModel, text_column: str = "text",
         import pandas as pd
 
         data, offsets = text_buffers(pa.array(texts, pa.large_string(), from_pandas=True))
-        return pd.Series(shared.value.scores(data, offsets))
+        scores = shared.value.scores(data, offsets)
+        del data, offsets
+        give_back()
+        return pd.Series(scores)
 
     scored = documents.drop("score", "predicted").withColumn("score", probability(F.col(f"`{text_column}`")))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
