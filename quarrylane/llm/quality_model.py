@@ -164,12 +164,10 @@ def labelled_sample(
     rows = (
         documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
         .mapInArrow(extracted, "id long, buckets binary, shares binary")
-        .collect()
     )
-    # Rows go as they are taken over, so that the sample is in memory once.
+    # Extracted in parallel and then read part by part, so that the driver holds the sample once.
     found = []
-    while rows:
-        row = rows.pop()
+    for row in settle(rows).coalesce(16).toLocalIterator():
         if len(row["buckets"]):
             found.append((row["id"], bytes(row["buckets"]), bytes(row["shares"])))
     found.sort()
