@@ -117,8 +117,10 @@ def _members(nodes: DataFrame, documents: DataFrame, rows: DataFrame, id_column:
     if nodes.count() <= BROADCAST_NODES:
         wanted = spark.sparkContext.broadcast(np.sort(np.array([r["node"] for r in nodes.select("node").toLocalIterator()], np.int64)))
     else:
+        # A set is read from the rows of its smallest id; rows without an id are all read.
         first = rows.join(nodes.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.min("doc_id").alias("mine"))
-        documents = documents.join(first.select("mine"), F.col(f"`{id_column}`") == F.col("mine"), "left_semi")
+        key = F.col(f"`{id_column}`").cast("long")
+        documents = documents.join(first.select("mine").distinct(), key == F.col("mine"), "left_semi").unionByName(documents.where(key.isNull()))
 
     def emit(keys: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         found = [(node_of(s), s) for s in sets if len(s)]
@@ -129,7 +131,8 @@ def _members(nodes: DataFrame, documents: DataFrame, rows: DataFrame, id_column:
         return _batch(schema, [k for k, _ in found], [len(s) for _, s in found], [s.tobytes() for _, s in found])
 
     # Copies of one set meet before the shuffle.
-    return _over_sets(documents, text_column, size, None, emit, schema).groupBy("node", "n").agg(F.min("shingles").alias("shingles"))
+    members = _over_sets(documents, text_column, size, None, emit, schema).groupBy("node", "n").agg(F.min("shingles").alias("shingles"))
+    return members if wanted is not None else members.join(nodes, ["node", "n"], "left_semi")
 
 
 def _exploded(members: DataFrame) -> DataFrame:

@@ -105,6 +105,18 @@ def test_jaccard_join_path_equals_broadcast_path(documents, monkeypatch):
     assert sorted(jaccard_join.jaccard_components(documents, 4, 85).collect()) == plain
 
 
+def test_jaccard_join_path_reads_rows_without_id(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words[i:] + [f"y{j}" for j in range(i)]) for i in range(0, 9, 2)]
+    # Neighbours of the chain link, its ends do not; only rows without an id hold it together.
+    rows = [(1, chain[0]), (None, chain[1]), (None, chain[2]), (None, chain[2]), (None, chain[3]), (9, chain[4]), (5, "a b c d e f"), (None, "g h i j k l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = sorted(jaccard_join.jaccard_components(df, 4, 85).collect(), key=repr)
+    assert (9, 57, 1) in [tuple(r) for r in plain]
+    monkeypatch.setattr(jaccard_join, "BROADCAST_NODES", 0)
+    assert sorted(jaccard_join.jaccard_components(df, 4, 85).collect(), key=repr) == plain
+
+
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 @settings(max_examples=8, deadline=None)
 def test_components(spark, edges):
