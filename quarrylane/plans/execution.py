@@ -105,14 +105,7 @@ register(
 
 def win2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter before the ranks: exact filtered top three; groups are searched on their own."""
-    v = vectors(spark, sf_dir)
-    groups = [r["group"] for r in v.select("group").distinct().limit(1000).collect()]
-    parts = None
-    for g in sorted(groups):
-        own = v.where(F.col("group") == g)
-        part = retrieval.top_k(own, own, 3)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.select("query_id", "rank", "id")
+    return retrieval.top_k_within_groups(vectors(spark, sf_dir), 3).select("query_id", "rank", "id")
 
 
 register("win2_filter_then_rank", win2, f"WITH {SCORES} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id FROM s WHERE ql = pl QUALIFY rank <= 3")

@@ -344,3 +344,21 @@ def test_best_fit_statistics(histogram):
             rooms.remove(best)
         rooms.append((20 if best is None else best) - length)
     assert found["packs"] == len(rooms) and found["boundaries"] == sum(histogram.values()) - len(rooms)
+
+
+def test_filtered_ranks_of_many_groups(spark, tmp_path):
+    from quarrylane.plans import registry
+
+    noise = random.Random(4)
+    rows = [(i, None if i % 50 == 7 else f"g{i % 1300}", [noise.uniform(-1, 1) for _ in range(4)]) for i in range(3000)]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    groups = {}
+    for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").where("label IS NOT NULL").collect():
+        groups.setdefault(r["label"], []).append((r["vec_id"], r["embedding"]))
+    plain = set()
+    for members in groups.values():
+        for q, v in members:
+            best = sorted((-round(sum(a * b for a, b in zip(v, w)), 9), c) for c, w in members if c != q)[:3]
+            plain |= {(q, rank + 1, c) for rank, (_, c) in enumerate(best)}
+    found = registry.queries()["win2_filter_then_rank"](spark, str(tmp_path)).collect()
+    assert len(groups) > 1000 and {tuple(r) for r in found} == plain and len(found) == len(plain)
