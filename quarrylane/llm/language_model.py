@@ -2,14 +2,16 @@
 
 Corpus statistics are exact over all training texts: the count of every word (the
 vocabulary is a table that grows with the input and never leaves the cluster), and
-the word pairs of the model's vocabulary, a matrix of fixed size.  A log-bilinear
-model with one word of context depends on its corpus through those pairs alone, so
-sampling pairs by their counts is stochastic training on the whole corpus.
+the count of every pair of the model's symbols, a distributed table too.  A
+log-bilinear model with one word of context depends on its corpus through those
+pairs alone, so sampling pairs by their counts is stochastic training on the whole
+corpus.  Draws grow with the training tokens; shards train in tasks of their own.
 
-The model predicts its K - 1 most frequent words and one class for the rest; within
-the rest, and for words never seen, the smoothed unigram shares the class's
-probability.  So probabilities sum to one over the same symbols as the base score's.
-All log-probabilities are one (contexts x words) matrix product, normalised by row.
+The model's symbols grow with the square root of the training tokens: frequent words
+have a vector of their own, all others share the vectors of classes they are hashed
+to, and within a class the smoothed unigram shares the class's probability.  A class
+also has room for one word never seen.  The normaliser of a context over all symbols
+is computed once, so a token costs one product of two vectors.
 
 Words are keyed by 64-bit hashes.  Counts of the most frequent words travel to all
 tasks (a bounded table); the other words of each document meet their counts in a join.
@@ -17,21 +19,29 @@ tasks (a bounded table); the other words of each document meet their counts in a
 
 from __future__ import annotations
 
+import copy
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.llm.shared import Words, release, settle, slices, text_buffers
 
-#: Words of the model, counting the class of all others.
-MODEL_WORDS = 512
-#: Bound of the table of frequent words (16 bytes each) that every task holds.
+#: Symbols of the model: so many, and so many times the square root of the training tokens; a quarter are classes.
+LEAST_SYMBOLS, SYMBOLS_A_ROOT = 1 << 14, 4
+#: Bound of the table of frequent words (16 bytes each) that every task holds; more if more words have a vector of their own.
 FREQUENT_WORDS = 1 << 18
-DIMENSIONS, NOISE, BATCH, STEPS, RATE = 24, 8, 1024, 2500, 0.05
+DIMENSIONS, NOISE, BATCH, RATE = 24, 64, 1024, 0.1
+#: Training draws: so many batches, and so many draws of every training token.
+STEPS, DRAWS_A_TOKEN = 2500, 0.5
+#: Training tokens of a shard, which one task trains on.
+SHARD_TOKENS = 1 << 23
+#: Vectors of one block of averages, and logits of one block of contexts.
+BLOCK_ROWS, BLOCK_LOGITS = 4096, 1 << 22
 #: The key of the end token.
 END = np.int64(-0x5851F42D4C957F2D)
 SLICE_BYTES = 1 << 20
@@ -90,23 +100,30 @@ def frequent_words(counts: DataFrame, most: int) -> dict[int, int]:
 
 
 class Tokens:
-    """Looks up words: their place in the model and their training count where it is frequent."""
+    """Looks up words: their place in the model and their training count where it is frequent.
 
-    def __init__(self, frequent: dict[int, int], model_words: list[int]):
+    Words with a vector of their own come first, then the classes that all other words are hashed to, then the
+    context before the first word.
+    """
+
+    def __init__(self, frequent: dict[int, int], own: list[int], classes: int):
         self.keys = np.array(sorted(frequent), np.int64)
         self.counts = np.array([frequent[k] for k in self.keys.tolist()], np.int64)
-        place = {w: i for i, w in enumerate(model_words)}
-        #: The class of all other words, and the context before the first word.
-        self.rest, self.start = len(model_words), len(model_words) + 1
-        self.places = np.array([place.get(k, self.rest) for k in self.keys.tolist()], np.int64)
+        self.rest, self.classes, self.start = len(own), classes, len(own) + classes
+        place = {w: i for i, w in enumerate(own)}
+        self.places = np.array([place.get(k, -1) for k in self.keys.tolist()], np.int64)
+        self.places = np.where(self.places < 0, self.hashed(self.keys), self.places)
+
+    def hashed(self, words: np.ndarray) -> np.ndarray:
+        return self.rest + words % self.classes
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Model places, and counts or -1."""
         if not len(self.keys):
-            return np.full(len(words), self.rest), np.full(len(words), -1)
+            return self.hashed(words), np.full(len(words), -1)
         at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
         known = self.keys[at] == words
-        return np.where(known, self.places[at], self.rest), np.where(known, self.counts[at], -1)
+        return np.where(known, self.places[at], self.hashed(words)), np.where(known, self.counts[at], -1)
 
     def contexts(self, words: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place before each word, and the place before each document's end."""
@@ -118,69 +135,197 @@ class Tokens:
         return before, last
 
 
-def pair_counts(texts: DataFrame, tokens: Tokens) -> np.ndarray:
-    """(contexts x words) counts over all training texts; the matrix has a fixed size."""
+def pair_counts(texts: DataFrame, tokens: Tokens) -> DataFrame:
+    """(cell, n) counts of the pairs of all training texts; a cell is context * symbols + symbol."""
     shared = texts.sparkSession.sparkContext.broadcast(tokens)
-    rows, columns = tokens.start + 1, tokens.rest + 1
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = shared.value, np.zeros(rows * columns, np.int64)
+        own, parts, distinct = shared.value, [], 0
+        out = lambda k, c: pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["cell", "n"])
         end = own.find(np.array([END]))[0][0]
         for batch in batches:
             for _, _, words in _slices(batch.column(0)):
                 places, _ = own.find(words.hash.view(np.int64))
                 before, last = own.contexts(words, places)
-                total += np.bincount(np.concatenate([before * columns + places, last * columns + end]), minlength=len(total))
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+                parts.append(np.unique(np.concatenate([before * own.start + places, last * own.start + end]), return_counts=True))
+                distinct += len(parts[-1][0])
+                if distinct > _DISTINCT_AT_ONCE:
+                    parts = [_merged(parts)]
+                    distinct = len(parts[0][0])
+                    if distinct > _DISTINCT_AT_ONCE // 2:
+                        yield out(*parts[0])
+                        parts, distinct = [], 0
+        if parts:
+            yield out(*_merged(parts))
 
-    found = texts.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    matrix = np.zeros(rows * columns)
-    matrix[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return matrix.reshape(rows, columns)
+    return texts.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+class Model:
+    """A context's vector, turned by a matrix, predicts the word's vector; words have biases that start at their unigram."""
+
+    def __init__(self, unigram: np.ndarray, seed: int = 10):
+        random = np.random.default_rng(seed)
+        words = len(unigram)
+        # A single word is certain and needs no vectors.
+        spread = 0.1 if words > 1 else 0.0
+        self.log_unigram = np.log(unigram).astype(np.float32)
+        self.query = random.normal(0, spread, (words + 1, DIMENSIONS)).astype(np.float32)
+        self.turn = np.eye(DIMENSIONS, dtype=np.float32)
+        self.answer = random.normal(0, spread, (words, DIMENSIONS)).astype(np.float32)
+        self.bias = self.log_unigram.copy()
+
+    def fit(self, cells: np.ndarray, counts: np.ndarray, steps: int, seed: int, rate: float = RATE) -> None:
+        """Noise-contrastive estimation on pairs drawn by their counts; noise is drawn from their own words, for a batch at once.
+
+        Scores are relative to the unigram of the whole corpus, so a shard that has a
+        word more often than its share does not raise the word.
+        """
+        words = len(self.bias)
+        if not len(cells) or words < 2:
+            return
+        random = np.random.default_rng(seed)
+        chance = np.cumsum(counts / counts.sum())
+        noises = np.bincount(cells % words, counts, words)
+        noises = np.cumsum(noises / noises.sum())
+        squares = [np.ones(v.shape, np.float32) for v in (self.query, self.turn, self.answer, self.bias)]
+
+        def move(value: np.ndarray, square: np.ndarray, at: np.ndarray | slice, gradient: np.ndarray, pace: float) -> None:
+            square[at] += gradient**2
+            value[at] -= pace * gradient / np.sqrt(square[at])
+
+        spare = self.log_unigram + np.float32(math.log(NOISE))
+        for step in range(steps):
+            cell = cells[np.minimum(np.searchsorted(chance, random.random(BATCH), "right"), len(cells) - 1)]
+            context, word = np.divmod(cell, words)
+            others = np.minimum(np.searchsorted(noises, random.random(NOISE), "right"), words - 1)
+            own = self.query[context]
+            turned = own @ self.turn
+            answer, noise = self.answer[word], self.answer[others]
+            miss = np.concatenate([
+                1 / (1 + np.exp(-((turned * answer).sum(1) + self.bias[word] - spare[word])))[:, None] - 1,
+                1 / (1 + np.exp(-(turned @ noise.T + self.bias[others] - spare[others]))),
+            ], 1)
+            back = miss[:, :1] * answer + miss[:, 1:] @ noise
+            pace = rate * (1 - step / steps)
+            rows, place = np.unique(np.concatenate([word, others]), return_inverse=True)
+            gradient = np.zeros((len(rows), DIMENSIONS + 1), np.float32)
+            grown = np.concatenate([turned, np.ones((BATCH, 1), np.float32)], 1)
+            np.add.at(gradient, place, np.concatenate([miss[:, :1] * grown, miss[:, 1:].T @ grown]))
+            before, at = np.unique(context, return_inverse=True)
+            of_query = np.zeros((len(before), DIMENSIONS), np.float32)
+            np.add.at(of_query, at, back @ self.turn.T)
+            move(self.turn, squares[1], slice(None), own.T @ back / BATCH, pace)
+            move(self.query, squares[0], before, of_query, pace)
+            move(self.answer, squares[2], rows, gradient[:, :-1], pace)
+            move(self.bias, squares[3], rows, gradient[:, -1], pace)
+
+    def log_totals(self, first: int, last: int) -> np.ndarray:
+        """Logarithms of the sums over all words, of the contexts from ``first`` on."""
+        out, step = [np.zeros(0)], max(1, BLOCK_LOGITS // len(self.bias))
+        for a in range(first, last, step):
+            logits = (self.query[a : min(a + step, last)] @ self.turn) @ self.answer.T + self.bias
+            most = logits.max(1, keepdims=True)
+            out.append((most + np.log(np.exp(logits - most).sum(1, keepdims=True, dtype=np.float64)))[:, 0])
+        return np.concatenate(out)
 
 
 def train(pairs: np.ndarray, seed: int = 10) -> np.ndarray:
-    """log10 probabilities (contexts x words) of a log-bilinear model fitted to pair counts by noise-contrastive estimation.
-
-    A context's vector, turned by a matrix, predicts the word's vector; words have
-    biases that start at their unigram.  Noise comes from the unigram.
-    """
+    """log10 probabilities (contexts x words) of a model fitted to a small matrix of pair counts."""
     contexts, words = pairs.shape
     total = pairs.sum()
-    unigram = (pairs.sum(0) + 0.5) / (total + 0.5 * words)
-    bias = np.log(unigram)
-    random = np.random.default_rng(seed)
-    query = random.normal(0, 0.1, (contexts, DIMENSIONS))
-    turn = np.eye(DIMENSIONS)
-    answer = random.normal(0, 0.1, (words, DIMENSIONS))
-    if total and words > 1:
-        chance, noise = np.cumsum(pairs.ravel() / total), np.cumsum(unigram)
-        log_noise = np.log(NOISE * unigram)
-        squares = [np.full(w.shape, 1e-3) for w in (query, turn, answer, bias)]
-        for step in range(STEPS):
-            cell = np.minimum(np.searchsorted(chance, random.random(BATCH), "right"), pairs.size - 1)
-            context, word = np.divmod(cell, words)
-            others = np.minimum(np.searchsorted(noise, random.random((BATCH, NOISE)), "right"), words - 1)
-            picked = np.concatenate([word[:, None], others], 1)
-            turned = query[context] @ turn
-            odds = np.einsum("bd,bkd->bk", turned, answer[picked]) + bias[picked] - log_noise[picked]
-            error = 1 / (1 + np.exp(-odds))
-            error[:, 0] -= 1
-            error /= BATCH
-            back = np.einsum("bk,bkd->bd", error, answer[picked])
-            flat = picked.ravel()
-            spread = np.zeros((BATCH, words))
-            np.add.at(spread, (np.repeat(np.arange(BATCH), NOISE + 1), flat), error.ravel())
-            gradients = [np.zeros_like(query), query[context].T @ back, spread.T @ turned, spread.sum(0)]
-            np.add.at(gradients[0], context, back @ turn.T)
-            rate = RATE * (1 - step / STEPS)
-            for value, gradient, square in zip((query, turn, answer, bias), gradients, squares):
-                square += (gradient * BATCH) ** 2 / STEPS
-                value -= rate * gradient * BATCH / (1 + np.sqrt(square)) / 4
-    logits = (query @ turn) @ answer.T + bias
-    logits -= logits.max(1, keepdims=True)
-    return (logits - np.log(np.exp(logits).sum(1, keepdims=True))) / math.log(10)
+    model = Model((pairs.sum(0) + 0.5) / (total + 0.5 * words), seed)
+    cells = np.flatnonzero(pairs.ravel())
+    model.fit(cells, pairs.ravel()[cells], STEPS, seed)
+    logits = ((model.query @ model.turn) @ model.answer.T + model.bias)[:contexts]
+    return (logits - model.log_totals(0, len(model.query))[:contexts, None]) / math.log(10)
+
+
+def train_on_shards(pairs: DataFrame, model: Model, tokens: int, seed: int = 10) -> None:
+    """Fits ``model`` to all (cell, n) pairs.
+
+    Each pair's count is split evenly over the shards, a remainder from a hash of the
+    cell on, so a shard is a sample of the corpus.  One shard warms the model up; then
+    every shard trains it on its own pairs, and each vector becomes the mean over
+    shards, weighted by how often they have it.  Shards and draws depend on the counts
+    alone.
+    """
+    spark = pairs.sparkSession
+    shards = 1 + tokens // SHARD_TOKENS
+    turns = F.sequence(F.lit(0), F.least(F.col("n"), F.lit(shards)).cast("int") - 1)
+    dealt = settle(
+        pairs.withColumn("i", F.explode(turns)).select(
+            "cell", (F.floor(F.col("n") / shards) + (F.col("i") < F.col("n") % shards).cast("long")).alias("n"),
+            F.pmod(F.pmod(F.xxhash64("cell"), F.lit(shards)) + F.col("i"), F.lit(shards)).cast("int").alias("shard"),
+        )
+    )
+    width = DIMENSIONS + 1
+    steps = STEPS if shards == 1 else math.ceil(STEPS / shards)
+    steps += math.ceil(tokens * DRAWS_A_TOKEN / shards / BATCH)
+
+    def trained(start: Broadcast, steps: int, seed: int, rate: float) -> Callable[[pa.Table], pa.Table]:
+        def fitted(table: pa.Table) -> pa.Table:
+            order = np.argsort(table["cell"].to_numpy())
+            cells, n = table["cell"].to_numpy()[order], table["n"].to_numpy()[order]
+            shard, old, model = table["shard"][0].as_py(), start.value, copy.deepcopy(start.value)
+            model.fit(cells, n, steps, seed + shard, rate)
+            context, word = np.divmod(cells, len(old.bias))
+            out = []
+            for kind, weight, new in (
+                ("query", np.bincount(context, n, len(old.query)), model.query - old.query),
+                ("answer", np.bincount(word, n, len(old.bias)), np.column_stack([model.answer - old.answer, model.bias - old.bias])),
+                ("turn", np.full(DIMENSIONS, float(n.sum())), model.turn - old.turn),
+            ):
+                for a in range(0, len(weight), BLOCK_ROWS):
+                    part = weight[a : a + BLOCK_ROWS].astype(np.float64)
+                    out.append((kind, a, shard, part.tobytes(), new[a : a + BLOCK_ROWS].astype(np.float32).tobytes()))
+            return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "first", "shard", "weight", "delta"])
+
+        return fitted
+
+    def averaged(table: pa.Table) -> pa.Table:
+        total, weights = 0, 0
+        for i in np.argsort(table["shard"].to_numpy()):
+            weight = np.frombuffer(table["weight"][i].as_py(), np.float64)
+            delta = np.frombuffer(table["delta"][i].as_py(), np.float32).reshape(len(weight), -1)
+            total, weights = total + weight[:, None] * delta, weights + weight
+        mean = (total / np.maximum(weights, 1e-9)[:, None]).astype(np.float32)
+        return pa.table([table["kind"].slice(0, 1), table["first"].slice(0, 1), pa.array([mean.tobytes()], pa.binary())], ["kind", "first", "mean"])
+
+    def advance(rows: DataFrame, steps: int, seed: int, rate: float) -> None:
+        start = spark.sparkContext.broadcast(model)
+        parts = rows.groupBy("shard").applyInArrow(trained(start, steps, seed, rate), "kind string, first long, shard long, weight binary, delta binary")
+        means = parts.groupBy("kind", "first").applyInArrow(averaged, "kind string, first long, mean binary")
+        for r in means.toLocalIterator():
+            shape = width if r["kind"] == "answer" else DIMENSIONS
+            mean = np.frombuffer(r["mean"], np.float32).reshape(-1, shape)
+            at = slice(r["first"], r["first"] + len(mean))
+            if r["kind"] == "answer":
+                model.answer[at] += mean[:, :-1]
+                model.bias[at] += mean[:, -1]
+            else:
+                getattr(model, r["kind"])[at] += mean
+        start.destroy()
+
+    if shards > 1:
+        advance(dealt.where("shard = 0"), STEPS, seed, RATE)
+    advance(dealt, steps, seed + 1, RATE if shards == 1 else RATE / 2)
+
+
+def log_totals(spark: SparkSession, model: Model) -> np.ndarray:
+    """The normaliser of every context, over all words."""
+    shared, contexts = spark.sparkContext.broadcast(model), len(model.query)
+    step = max(1, 16 * BLOCK_LOGITS // len(model.bias))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                totals = shared.value.log_totals(first, min(first + step, contexts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(totals))), pa.array(totals)], ["context", "total"])
+
+    n = -(-contexts // step)
+    rows = spark.range(0, contexts, step, min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(summed, "context long, total double").toPandas()
+    return rows.sort_values("context")["total"].to_numpy()
 
 
 def score(documents: DataFrame, folds: int = 7, held_out_fold: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -202,19 +347,42 @@ def score(documents: DataFrame, folds: int = 7, held_out_fold: int = 2, id_colum
     release(spark)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"], totals["v"]
-    frequent = frequent_words(counts, FREQUENT_WORDS)
+    symbols = LEAST_SYMBOLS + int(SYMBOLS_A_ROOT * math.sqrt(n))
+    classes = symbols // 4 if v > symbols else 1
+    most = symbols - classes
+    frequent = frequent_words(counts, max(FREQUENT_WORDS, most))
     if n and int(END) not in frequent:
         frequent[int(END)] = counts.where(F.col("word") == int(END)).first()["n"]
     ordered = sorted(frequent, key=lambda w: (-frequent[w], w))
-    model_words = [w for w in ordered if w != END][: MODEL_WORDS - 2] + ([int(END)] if n else [])
-    tokens = Tokens(frequent, model_words)
-    table = train(pair_counts(training, tokens))
-    log_total = math.log10(n + v + 1)
-    log_rest = math.log10(n + v + 1 - sum(frequent[w] + 1 for w in model_words))
-    shared = spark.sparkContext.broadcast((tokens, table))
+    own_words = [w for w in ordered if w != END][: most - 1] + ([int(END)] if n else [])
+    tokens = Tokens(frequent, own_words, classes)
+    # Tokens and smoothed counts of each class: what all words hash to, less those with a vector of their own.
+    of_class, mass = np.zeros(classes, np.int64), np.ones(classes)
+    sums = counts.groupBy(F.pmod("word", F.lit(classes)).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
+    for r in sums.collect():
+        of_class[r["class"]], mass[r["class"]] = r["n"], r["n"] + r["v"] + 1
+    own_counts = np.array([frequent[w] for w in own_words], np.int64)
+    np.subtract.at(of_class, np.array(own_words, np.int64) % classes, own_counts)
+    np.subtract.at(mass, np.array(own_words, np.int64) % classes, own_counts + 1)
+    seen = np.concatenate([own_counts, of_class]) + 0.5
+    model = Model(seen / seen.sum())
+    if n:
+        train_on_shards(pair_counts(training, tokens), model, n)
+        release(spark)
+    ln10, log_total, log_mass = math.log(10), math.log10(n + v + 1), np.log10(mass)
+    model.query, model.turn, totals = model.query @ model.turn, np.eye(DIMENSIONS, dtype=np.float32), log_totals(spark, model)
+    shared = spark.sparkContext.broadcast((tokens, model.query, model.answer, model.bias, totals, log_mass))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, logs = shared.value
+        own, query, answer, bias, totals, log_mass = shared.value
+
+        def logs(context: np.ndarray, place: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(place))
+            for a in range(0, len(place), 1 << 14):
+                c, w = context[a : a + (1 << 14)], place[a : a + (1 << 14)]
+                out[a : a + (1 << 14)] = np.einsum("nd,nd->n", query[c], answer[w]) + bias[w] - totals[c]
+            return np.minimum(out / ln10, 0)
+
         end_place, end_count = (x[0] for x in own.find(np.array([END])))
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
@@ -229,9 +397,10 @@ def score(documents: DataFrame, folds: int = 7, held_out_fold: int = 2, id_colum
                 columns[0].append(np.diff(words.first) + 1)
                 columns[1].append(add(~rare).astype(np.int64) + (end_count > 0))
                 columns[2].append(add(log_count) + (math.log10(end_count + 1) if end_count > 0 else 0))
-                of_rest = places == own.rest
-                columns[3].append(add(logs[before, places] + np.where(of_rest, log_count - log_rest, 0)))
-                columns[3][-1] = columns[3][-1] + logs[at_end, end_place] + (0 if end_place < own.rest else -log_rest)
+                of_rest = places >= own.rest
+                columns[3].append(add(logs(before, places) + np.where(of_rest, log_count - log_mass[np.maximum(places - own.rest, 0)], 0)))
+                ends = logs(at_end, np.full(rows, end_place))
+                columns[3][-1] = columns[3][-1] + ends - (0 if end_place < own.rest else log_mass[end_place - own.rest])
                 bounds = np.searchsorted(words.document[rare], np.arange(rows + 1))
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     unique, often = np.unique(keys[rare][a:b] if b > a else keys[:0], return_counts=True)

@@ -351,6 +351,37 @@ def test_language_model(spark, documents, texts):
     assert gain > 0.02
 
 
+@pytest.mark.parametrize("tokens_a_shard, least", [(1 << 25, 1 << 14), (1 << 14, 1 << 14), (1 << 25, 700)])
+def test_language_model_gives_vectors_beyond_the_most_frequent_words(spark, monkeypatch, tokens_a_shard, least):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", tokens_a_shard, raising=False)
+    monkeypatch.setattr(language_model, "LEAST_SYMBOLS", least, raising=False)
+    random = np.random.default_rng(5)
+    # 2000 words as frequent as each other; every second one is fixed by the one before.
+    rows = [(i, " ".join(f"a{j} b{j}" for j in random.integers(0, 1000, 60))) for i in range(700)]
+    found = language_model.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("held_out").collect()
+    gain = sum(r["score"] - r["base_score"] for r in found) / sum(r["n_tokens"] for r in found)
+    assert gain > 0.5
+    again = language_model.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).where("held_out").collect()
+    assert {r["doc_id"]: r["score"] for r in again} == pytest.approx({r["doc_id"]: r["score"] for r in found}, rel=1e-3)
+
+
+def test_language_model_scores_add_up_over_pairs(spark, monkeypatch):
+    for name, value in (("LEAST_SYMBOLS", 8), ("FREQUENT_WORDS", 4), ("SYMBOLS_A_ROOT", 0)):
+        monkeypatch.setattr(language_model, name, value)
+    folds = defaultdict(list)
+    for k in range(2000):
+        folds[zlib.crc32(str(k).encode()) % 7 == 2].append(k)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(k, " ".join(words[(i * j) % 30] for j in range(1, 8))) for i, k in enumerate(folds[False][:40])]
+    probes = [*words, *(f"{w} {w}" for w in words), *(f"{w} {w} {w}" for w in words)]
+    found = language_model.score(spark.createDataFrame(rows + list(zip(folds[True], probes)), "doc_id long, text string"))
+    scores = {r["doc_id"]: r["score"] for r in found.collect()}
+    of = {t: scores[k] for k, t in zip(folds[True], probes)}
+    assert all(math.isfinite(v) and v <= 0 for v in of.values())
+    # "w w" less "w" is log P(w | w), frequent or in a class; one more w adds the same again.
+    assert all(of[f"{w} {w} {w}"] - of[f"{w} {w}"] == pytest.approx(of[f"{w} {w}"] - of[w], abs=1e-6) for w in words)
+
+
 def test_language_model_is_normalised():
     random = np.random.default_rng(1)
     table = language_model.train(random.integers(0, 50, (7, 6)).astype(float))
