@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,3 +92,21 @@ def resampled_means(values: DataFrame, value: str, position: str, by: list[str],
     chosen = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("size"))
     drawn = draws.select(*by, "replicate", chosen.alias(position))
     return drawn.join(values, [*by, position]).groupBy(*by, "replicate").agg(F.avg(value).alias("mean"))
+
+
+def bootstrap_interval(replicates: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """95 % percentile interval of the mean of one group's (lang, diff, n) counts.
+
+    Drawing n rows with replacement gives each distinct value a multinomial count, so
+    whole replicates are drawn without their rows.  The group's name is the seed.
+    """
+
+    def interval(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("diff")
+        name, n = group["lang"].iloc[0], group["n"].to_numpy()
+        random = np.random.default_rng(int.from_bytes(hashlib.sha256(str(name).encode()).digest()[:8], "little"))
+        means = np.concatenate([random.multinomial(n.sum(), n / n.sum(), min(250, replicates - a)) @ group["diff"].to_numpy() for a in range(0, replicates, 250)]) / n.sum()
+        low, high = np.quantile(means, [0.025, 0.975])
+        return pd.DataFrame({"lang": [name], "ci_low": [low], "ci_high": [high]})
+
+    return interval

@@ -245,6 +245,18 @@ register(
     "d AS (SELECT r.lang, rep, CAST('0x' || substr(md5(rep || '|' || r.pos), 1, 12) AS BIGINT) % r.n AS pick FROM r, range(1, 101) t(rep)), "
     "m AS (SELECT d.lang, rep, avg(r.diff) AS mean FROM d JOIN r ON r.lang = d.lang AND r.pos = d.pick GROUP BY ALL) SELECT lang, round(quantile_cont(mean, 0.025), 9) AS ci_low, round(quantile_cont(mean, 0.975), 9) AS ci_high FROM m GROUP BY lang",
 )
+#: Replicates of the reference.
+REPLICATES = 10_000
+
+
+def sta3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of ``REPLICATES`` resamples; how often a resample has each distinct difference is one multinomial draw."""
+    counts = labelled(spark, sf_dir).groupBy("lang", (F.col("b") - F.col("a")).cast("double").alias("diff")).agg(F.count("*").alias("n")).where("diff IS NOT NULL")
+    return counts.groupBy("lang").applyInPandas(statistics.bootstrap_interval(REPLICATES), "lang string, ci_low double, ci_high double").select(
+        "lang", *[F.round(c, 9).alias(c) for c in ("ci_low", "ci_high")])
+
+
+register("sta3_bootstrap_interval_10000", sta3_whole)
 register(
     "sta5_difference_in_differences",
     lambda spark, sf_dir: labelled(spark, sf_dir).groupBy("source").agg(

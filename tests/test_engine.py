@@ -362,3 +362,18 @@ def test_filtered_ranks_of_many_groups(spark, tmp_path):
             plain |= {(q, rank + 1, c) for rank, (_, c) in enumerate(best)}
     found = registry.queries()["win2_filter_then_rank"](spark, str(tmp_path)).collect()
     assert len(groups) > 1000 and {tuple(r) for r in found} == plain and len(found) == len(plain)
+
+
+def test_bootstrap_interval_of_ten_thousand(spark):
+    import numpy as np
+
+    from quarrylane.plans import aggregates, registry
+
+    found = {r["lang"]: r for r in registry.queries()["sta3_bootstrap_interval_10000"](spark, SF).collect()}
+    rows = aggregates.labelled(spark, SF).select("lang", (F.col("b") - F.col("a")).alias("d")).toPandas()
+    assert aggregates.REPLICATES == 10_000 and set(found) == set(rows["lang"])
+    for lang, own in rows.groupby("lang"):
+        d = own["d"].to_numpy(float)
+        means = d[np.random.default_rng(1).integers(0, len(d), (10_000, len(d)))].mean(1)
+        step = 2 / len(d)
+        assert (found[lang]["ci_low"], found[lang]["ci_high"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=step)
