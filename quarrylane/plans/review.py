@@ -217,7 +217,7 @@ def win14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.select_components(joined, "component", "signature", "id", 50, "split", forced).select("id", "component", "signature", "selected")
 
 
-register("win14_win15_component_split", win14)
+register("win14_component_split", win14)
 
 
 def fea4(spark: SparkSession, sf_dir: str) -> DataFrame:
