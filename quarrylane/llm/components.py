@@ -18,6 +18,8 @@ from quarrylane.llm.shared import settle
 
 #: Edges (16 bytes each) that a single task may finish.
 ONE_TASK_EDGES = 200_000
+#: Nodes that a task holds before it passes its stars on and starts anew.
+TASK_NODES = 2_000_000
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,15 +34,21 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, parent[x]
         return top
 
+    def found() -> Iterator[pa.RecordBatch]:
+        leaves = [x for x in parent if root(x) != x]
+        for first in range(0, len(leaves), 100_000):
+            part = leaves[first : first + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([parent[x] for x in part], pa.int64())], ["a", "b"])
+
     for batch in batches:
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             x, y = root(x), root(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    leaves = [x for x in parent if root(x) != x]
-    for first in range(0, len(leaves), 100_000):
-        part = leaves[first : first + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([parent[x] for x in part], pa.int64())], ["a", "b"])
+        if len(parent) > TASK_NODES:
+            yield from found()
+            parent.clear()
+    yield from found()
 
 
 def _digest(edges: DataFrame) -> tuple:

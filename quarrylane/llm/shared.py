@@ -31,12 +31,19 @@ def ascii_lower(column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set for this session when it names none."""
+    """The folder that driver and executors share.
+
+    That is the one the session names, else the one the context has; only where there is
+    neither is one set.  Checkpoints that nothing refers to any more are removed, unless the
+    session says otherwise.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    inner = context._jsc.sc()
+    inner.conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    if not inner.getCheckpointDir().isDefined():
         context.setCheckpointDir(named or LOCAL_SHARED_DIR)
-    return named or LOCAL_SHARED_DIR
+    return named or inner.getCheckpointDir().get()
 
 
 def give_back() -> None:
@@ -88,18 +95,23 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTE_VALUES = finish(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_powers = np.ones(1, np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Values of bytes at the first places of a word; later places are computed by the same rule.
+_TABLE_PLACES = 64
+_TABLE = finish(np.arange(1, 256 * _TABLE_PLACES + 1, dtype=np.uint64) * _STEP)
 
 
-def powers(n: int) -> np.ndarray:
-    """The first ``n`` powers of an odd 64-bit multiplier, modulo 2^64."""
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 1 << 12), 0xD1342543DE82EF95, np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers[:n]
+def byte_values(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A pseudo-random 64-bit value of each (place, byte).
+
+    Places do not differ by a factor, so sums of these values have no algebraic
+    structure that texts could meet, as powers modulo 2^64 have.
+    """
+    index = place * 256 + byte
+    out = _TABLE[np.minimum(index, len(_TABLE) - 1)]
+    late = np.flatnonzero(index >= len(_TABLE))
+    out[late] = finish((index[late].astype(np.uint64) + np.uint64(1)) * _STEP)
+    return out
 
 
 class Words:
@@ -128,7 +140,7 @@ class Words:
             lengths = self.ends - starts
             where = np.flatnonzero(inside)
             position = np.arange(len(where)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            values = _BYTE_VALUES[(_LOWER if lower else _AS_IS)[raw[where]]] * powers(int(lengths.max()))[position]
+            values = byte_values(position, (_LOWER if lower else _AS_IS)[raw[where]])
             self.hash = finish(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
         else:
             self.hash = np.zeros(0, np.uint64)
@@ -163,15 +175,16 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def first_by_hash(rows: DataFrame, hashed: Column, ties: list[str], most: int, total: int) -> list[Row]:
-    """The ``most`` rows (of ``total``) with the smallest 64-bit hashes, in that order.
+    """The ``most`` rows (of about ``total``) with the smallest 64-bit hashes, in that order.
 
-    Only rows under a threshold that twice as many are expected to pass reach the
-    driver, however many tasks there are; without enough of them all rows compete.
+    Only rows under a threshold that twice as many are expected to pass compete, so what
+    reaches the driver does not grow with rows or tasks.  If too few pass, the threshold
+    is raised fourfold.
     """
-    picked = lambda df: df.orderBy(hashed, *ties).limit(most).collect()
-    if total > 4 * most:
-        threshold = -(1 << 63) + int((1 << 64) * 2 * most / total)
-        found = picked(rows.where(hashed < threshold))
-        if len(found) == most:
+    share = 2 * most / max(total, 1)
+    while True:
+        within = rows if share >= 1 else rows.where(hashed < -(1 << 63) + int((1 << 64) * share))
+        found = within.orderBy(hashed, *ties).limit(most).collect()
+        if len(found) == most or share >= 1:
             return found
-    return picked(rows)
+        share *= 4

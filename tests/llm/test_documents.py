@@ -413,3 +413,75 @@ def test_kept_hash_of_everything_dropped(spark):
     df = spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string")
     kept = [r["kept_text"] for r in line_dedup.dedup_lines(df, min_documents=2).collect()]
     assert [hashlib.sha256(k.encode()).hexdigest() for k in kept] == [hashlib.sha256(b"").hexdigest()] * 2
+
+
+def test_jaccard_of_very_large_sets_at_the_threshold():
+    """Sizes past 2^24 / 185 shingles, where single floats no longer hold the products."""
+    for a, b, shared in ((98_734, 98_735, 90_729), (98_734, 98_735, 90_728), (110_000, 110_000, 101_082), (110_000, 110_000, 101_081)):
+        left = np.arange(a, dtype=np.int64)
+        right = np.concatenate([left[:shared], np.arange(10**6, 10**6 + b - shared)])
+        found = jaccard_join.cell_links(np.array([7, 8]), [left, right], np.arange(2), np.arange(2), 85)
+        assert bool(found) == (100 * shared >= 85 * (a + b - shared))
+
+
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1), min_size=2, max_size=14), st.integers(30, 100), st.integers(1, 60))
+@settings(max_examples=150, deadline=None)
+def test_blocked_sparse_product(sets, percent, products):
+    arrays = [np.array(sorted(s), np.int64) for s in sets]
+    before, jaccard_join.PRODUCTS = jaccard_join.PRODUCTS, products
+    try:
+        half = len(sets) // 2
+        cells = [(np.arange(half), np.arange(half, len(sets))), (np.arange(len(sets)), np.arange(len(sets)))]
+        for left, right in cells:
+            root = list(range(len(sets)))
+            find = lambda x: x if root[x] == x else find(root[x])  # noqa: E731,B023
+            for x, y in jaccard_join.cell_links(np.arange(len(sets)), arrays, left, right, percent):
+                assert 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]) and find(x) != find(y)
+                root[find(x)] = find(y)
+            for i in left:
+                for j in right:
+                    if i != j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                        assert find(i) == find(j)
+    finally:
+        jaccard_join.PRODUCTS = before
+
+
+@pytest.mark.parametrize("length", [512, 1024, 2048, 4096])
+def test_word_hashes_tell_thue_morse_words_apart(spark, length):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(length))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other), (3, f"{word} {other} " * 2)], "doc_id long, text string")
+    assert {r[0]: r[2] for r in jaccard_join.jaccard_components(df, 4, 85).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r["doc_id"]: r["longest_repeat"] for r in repetition.apply_rules(df).collect()} == {1: 0, 2: 0, 3: 2}
+
+
+def near_rows(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    near = text + " tail"
+    rows = [
+        (1, text, "x"), (2, near, "x"), (2, "an unrelated text that has nothing to do with the others", "x"), (3, text, "x"), (3, text, "x"),
+        (None, near + " more", "x"), (5, "", "x"), (5, "", "x"), (6, None, "x"), (None, "only rows without an id say this one", "x"),
+        (None, "only rows without an id say this one", "x"), (8, "said twice by one id in equal rows", "x"), (8, "said twice by one id in equal rows", "x"),
+        (9, "said twice by one id in two sources", "x"), (9, "said twice by one id in two sources", "y"),
+    ]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+
+
+@pytest.mark.parametrize("nodes", [None, 0])
+def test_first_of_components_goes_by_rows(spark, monkeypatch, nodes):
+    if nodes is not None:
+        monkeypatch.setattr(jaccard_join, "BROADCAST_NODES", nodes)
+    rows, df = near_rows(spark)
+    kept = [tuple(r) for r in jaccard_join.first_of_components(df).collect()]
+    expected = [rows[0], rows[2], rows[6], rows[7], rows[8], rows[9], rows[11]]
+    left = Counter(kept) - Counter(expected)
+    assert Counter(expected) - Counter(kept) == Counter() and sum(left.values()) == 1 and next(iter(left))[0] == 9
+    assert jaccard_join.first_of_components(df.limit(0)).collect() == []
+
+
+def test_jaccard_null_ids_on_both_paths(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, text), (None, text + " a"), (3, text + " b")], "doc_id long, text string")
+    for nodes in (1 << 20, 0):
+        monkeypatch.setattr(jaccard_join, "BROADCAST_NODES", nodes)
+        assert {r[2] for r in jaccard_join.jaccard_components(df, 4, 85).collect()} == {3}
