@@ -28,10 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; documents without words or id stay."""
-    found = jaccard_join.jaccard_components(docs)
-    gone = settle(found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates one row, that of the smallest id; rows without words stay."""
+    return jaccard_join.first_of_components(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
