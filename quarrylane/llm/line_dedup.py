@@ -3,7 +3,8 @@
 Lines are exploded as 128-bit hashes of their normalised form (no text), distinct
 documents are counted per hash, the hashes at or over the threshold are joined
 back to the line positions, and each document is put together again from the
-positions it keeps.  Text is shuffled once, for the last join.
+positions it keeps.  Lines are shuffled once, as arrays that the text was split into
+before the last join; every step costs a document as much as it has lines.
 
 Hot lines: the count is pre-aggregated before its shuffle (one row for a hash and
 task at most, after the distinct step on hash *and* document), and the join with
@@ -38,17 +39,20 @@ def dedup_lines(
 
     Nulls and empty texts are one empty line.  A document is a distinct id for the
     count; rows with a null id count as one document together.  Repeated rows all
-    stay, each with the same result.  Columns of the input named like an added
+    stay, each with the same result.  Very long texts cost time in proportion to their
+    lines; one text must fit a task.  Columns of the input named like an added
     column are replaced by it.  An empty table gives an empty table.
     """
-    given = documents.drop("kept_text", "n_lines", "n_dropped")
+    given = documents.drop("kept_text", "n_lines", "n_dropped", "_lines", "_a", "_b")
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     first, second = key_of(text)
     row = F.struct(F.col(f"`{id_column}`").alias("id"), first.alias("a"), second.alias("b"))
     keys = F.transform(F.split(text, "\n", -1), lambda line: ascii_lower(F.btrim(line, F.lit(SPACES))))
     one, two = key_of(F.col("key"))
+    # Hashes of whole texts are made before lines are exploded, once a document.
     lines = (
-        given.select(row.alias("row"), F.posexplode(keys).alias("position", "key"))
+        given.select(row.alias("row"), keys.alias("keys"))
+        .select("row", F.posexplode("keys").alias("position", "key"))
         .where(F.char_length("key") >= max(min_key_length, 0))
         .select("row", "position", one.alias("one"), two.alias("two"))
     )
@@ -65,19 +69,19 @@ def dedup_lines(
         .groupBy("row").agg(F.collect_set("position").alias("gone"))
         .select(F.col("row.id").alias("gone_id"), F.col("row.a").alias("gone_a"), F.col("row.b").alias("gone_b"), "gone")
     )
-    split = F.split(text, "\n", -1)
-    joined = given.join(
+    # Split below the join, so that no line is looked up in anything but a column that exists.
+    whole = given.withColumns({"_lines": F.split(text, "\n", -1), "_a": first, "_b": second})
+    joined = whole.join(
         dropped,
-        F.col(f"`{id_column}`").eqNullSafe(F.col("gone_id")) & (first == F.col("gone_a")) & (second == F.col("gone_b")),
+        F.col(f"`{id_column}`").eqNullSafe(F.col("gone_id")) & (F.col("_a") == F.col("gone_a")) & (F.col("_b") == F.col("gone_b")),
         "left",
     )
-    keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), text).otherwise(
-        F.array_join(F.transform(keep, lambda i: F.get(split, i)), "\n")
-    )
+    n = F.size("_lines")
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.array_join(F.when(F.col("gone").isNull(), F.col("_lines")).otherwise(F.transform(stay, lambda i: F.get("_lines", i))), "\n")
     return joined.select(
         *[F.col(f"`{c}`") for c in given.columns],
         kept.alias("kept_text"),
-        F.size(split).cast("long").alias("n_lines"),
+        n.cast("long").alias("n_lines"),
         F.coalesce(F.size("gone").cast("long"), F.lit(0).cast("long")).alias("n_dropped"),
     )

@@ -125,7 +125,7 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector with all others."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("int"))
+    whole = F.transform("embedding", lambda x: exact_topk.floored(256 * x.cast("double")))
     components = F.when(exact_topk.usable(F.col("embedding")), whole)
     return exact_topk.top_k(vectors, F.col("vec_id") % 50 == 0, components)
 

@@ -124,7 +124,7 @@ def plain_top(vectors, k):
             for c, w in vectors:
                 if c != q:
                     n = min(len(v), len(w))
-                    scores[c] = max(scores.get(c, -(10**9)), sum(a * b for a, b in zip(v[:n], w[:n])))
+                    scores[c] = max(scores.get(c, -(10**30)), sum(a * b for a, b in zip(v[:n], w[:n])))
             for i, (s, c) in enumerate(sorted(((-s, c) for c, s in scores.items()))[:k]):
                 out.add((q, i + 1, c, -s))
     return out
@@ -134,20 +134,40 @@ def test_top_k_with_ties_and_many_cells(spark):
     random = np.random.default_rng(8)
     vectors = [(i, random.integers(-3, 4, 6).tolist()) for i in range(300)] + [(300, [0] * 6), (301, [1, 2])]
     df = spark.createDataFrame(vectors + vectors[:5], "vec_id long, v array<int>")
-    found = exact_topk.top_k(df, F.col("vec_id") % 3 == 0, F.col("v"), group_vectors=70, block_queries=40).collect()
+    found = exact_topk.top_k(df, F.col("vec_id") % 3 == 0, F.col("v"), band_vectors=70, block_queries=40).collect()
     assert {tuple(r) for r in found} == plain_top(vectors, 5) and len(found) == len(plain_top(vectors, 5))
 
 
 def test_top_k_odd(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.5, -1.0]), (None, [9.0, 9.0]), (6, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("int"))
+    whole = F.transform("embedding", lambda x: exact_topk.floored(256 * x.cast("double")))
     parts = F.when(exact_topk.usable(F.col("embedding")), whole)
     found = exact_topk.top_k(df, F.col("vec_id") % 50 == 0, parts).collect()
-    assert [tuple(r) for r in found] == [(0, 1, 5, 256 * 128 - 512 * 256)]
+    assert sorted(tuple(r) for r in found) == [(0, 1, 6, 0), (0, 2, 5, 256 * 128 - 512 * 256)]
     assert exact_topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0, parts).collect() == []
 
 
+def test_top_k_large_components_and_clashing_columns(spark):
+    rows = [(0, [1e8, 2.0], "x", "y"), (1, [1e8, 1.0], "x", "y"), (2, [1e8, 2.0], None, "y"), (3, [3e38, 1.0], "x", "y"), (4, [-3e38, 1.0], "x", "y"), (5, [0.0, 0.5], "x", None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string, id string")
+    whole = F.transform("embedding", lambda x: exact_topk.floored(256 * x.cast("double")))
+    found = exact_topk.top_k(df, F.col("vec_id") == 0, F.when(exact_topk.usable(F.col("embedding")), whole)).collect()
+    big, largest = 25_600_000_000, 2**63 - 1
+    # Scores past a long are cut to it, and cut scores are ties.
+    expected = [(0, 1, 1, largest), (0, 2, 2, largest), (0, 3, 3, largest), (0, 4, 5, 512 * 128), (0, 5, 4, -largest)]
+    assert big * big > largest and sorted(tuple(r) for r in found) == expected
+
+
+@pytest.mark.parametrize("scale", [1, 10**7])
+def test_top_k_over_bands_of_different_lengths(spark, scale):
+    random = np.random.default_rng(12)
+    vectors = [(i, (random.integers(-4, 5, 8) * scale * int(random.integers(1, 9))).tolist()) for i in range(260)]
+    df = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    found = exact_topk.top_k(df, F.col("vec_id") % 3 == 0, F.col("v"), band_vectors=40, block_queries=30).collect()
+    assert {tuple(r) for r in found} == plain_top(vectors, 5) and len(found) == len(plain_top(vectors, 5))
+
+
 def test_first_by_hash_is_the_plain_order(spark):
     from quarrylane.llm.shared import first_by_hash
 
