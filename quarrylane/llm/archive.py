@@ -109,7 +109,7 @@ def write_archive(
     records.select(*[c.split()[0] for c in RECORD_SCHEMA.split(", ")]).write.option("compression", "zstd").parquet(f"{path}/records")
     # Equal payloads meet in one row before the shuffle (one a task), so a hot payload is not gathered.
     payloads = given.select("sha256", F.length("payload").cast("long").alias("size"), "payload")
-    payloads.groupBy("sha256", "size").agg(F.min("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    payloads.groupBy("sha256", "size").agg(F.any_value("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
 

@@ -3,8 +3,10 @@
 Documents are tokenized and cut at multiples of the sequence length; the histogram
 of piece lengths (never longer than the sequence length, so bounded) is packed on
 the driver into counted patterns; patterns go back to pieces by their rank among
-pieces of the same length.  Ranks come from counts of (length, salt) groups, so a
-length that a third of all pieces share is spread over all salts.
+pieces of the same length, in an order of their own columns, so how rows lie in
+partitions changes nothing.  Ranks come from counts of (length, salt) groups, so a
+length that a third of all pieces share is spread over all salts, and equal pieces
+are counted before they are ranked.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from quarrylane.llm.shared import give_back, settle
 
 SEQUENCE_LENGTH = 2048
 END_ID = 1
-#: Groups of one length get ranks salt by salt; a salt group must fit one task.
-SALTS = 1024
+#: Pieces of one length get ranks salt by salt: so many pieces a salt, and at least so many salts.
+SALT_PIECES, LEAST_SALTS = 1 << 16, 1024
+#: Parts that counts of equal pieces are kept in.
+COPY_PARTS = 1024
 #: Encoded pre-tokens kept by a worker before its cache starts anew.
 CACHE_ENTRIES = 200_000
 
@@ -168,20 +172,27 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.nda
     return {length: tuple(np.array(c, np.int64) for c in zip(*found)) for length, found in runs.items()}
 
 
-def ranked(pieces: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Adds ``rank`` (from 0, without gaps) among pieces of equal length."""
+def ranked(pieces: DataFrame, salts: int = LEAST_SALTS) -> DataFrame:
+    """``pieces`` with ``rank`` (from 0, without gaps) among pieces of equal length instead of ``copy``.
+
+    Equal pieces follow each other, whichever of them comes first; all else is
+    ordered by the pieces' columns alone.
+    """
     order = ["doc_id", "start", "doc_tokens", "ids_crc32"]
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order, F.col("copy")), F.lit(salts)).cast("int"))
-    groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    # At most `salts` rows a length, whatever the number of pieces.
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
+    part = F.pmod(F.xxhash64("copy"), F.lit(COPY_PARTS)).cast("int")
+    counted = pieces.groupBy("length", *order, part.alias("part")).agg(F.count("*").alias("n")).withColumn("salt", salt)
+    window = Window.partitionBy("length", "salt").orderBy(*order, "part")
+    within = counted.withColumn("within", F.sum("n").over(window) - F.col("n"))
+    groups = pieces.groupBy("length", salt.alias("salt")).agg(F.count("*").alias("n"))
+    # At most `salts` rows a length.
     before = settle(
         groups.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
         .select(F.col("length").alias("of_length"), F.col("salt").alias("of_salt"), "before")
     )
-    row = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order, "copy"))
-    within = salted.withColumn("within", row - 1)
     joined = within.join(before, (F.col("length") == F.col("of_length")) & (F.col("salt") == F.col("of_salt")))
-    return joined.withColumn("rank", F.col("before") + F.col("within")).drop("of_length", "of_salt", "before", "within", "salt")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    return joined.withColumn("i", each).select(*order, "length", (F.col("before") + F.col("within") + F.col("i")).alias("rank"))
 
 
 def pack(
@@ -190,7 +201,9 @@ def pack(
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset in the sequence.
 
     No piece is dropped or cut short; an empty table gives no pieces; extra columns
-    are ignored.  Repeated rows are packed as often as they occur.
+    are ignored.  A very long text is encoded whole, in one worker, and gives as many
+    pieces as it fills sequences.  Repeated rows are packed as often as they occur.
+    The same rows give the same result, however they are partitioned.
     """
     pieces = cut_pieces(documents, tokenizer_path, id_column, text_column, length)
     pieces = settle(pieces.withColumn("copy", F.monotonically_increasing_id()))
@@ -210,6 +223,7 @@ def pack(
             kept = batch.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence), pa.array(offset)], [*kept.schema.names, "sequence_id", "offset"])
 
-    return ranked(pieces).mapInArrow(
+    salts = max(LEAST_SALTS, -(-sum(histogram.values()) // SALT_PIECES))
+    return ranked(pieces, salts).mapInArrow(
         placed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

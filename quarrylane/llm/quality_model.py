@@ -23,6 +23,8 @@ from quarrylane.llm.shared import Words, finish, first_by_hash, give_back, settl
 
 #: Bound of the labelled sample: documents of each class, the first by a hash of their ids.
 MAX_TRAIN_PER_CLASS = 2500
+#: Bound of the features of the whole sample (8 bytes each); documents past it are left out of the sample.
+MAX_TRAIN_FEATURES = 1 << 23
 #: Documents scored at least this high are predicted to be of class 1.
 THRESHOLD = 0.3
 
@@ -31,32 +33,46 @@ DIMENSIONS = 12
 EPOCHS = 12
 CHAR_SIZES = (3, 5)
 SLICE_BYTES = 1 << 19
+#: Odd factors that tell the places of a character n-gram and of a word pair apart.
+GRAM_FACTOR, PAIR_FACTOR = np.uint64(0xD1342543DE82EF95), np.uint64(3)
+
+
+def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes as numbers, and where each starts."""
+    starts = np.flatnonzero((raw & 0xC0) != 0x80)
+    lead = raw[starts]
+    if len(starts) == len(raw):
+        return lead.astype(np.uint64), starts
+    more = (lead >= 0xC0).astype(int) + (lead >= 0xE0) + (lead >= 0xF0)
+    codes = (lead & np.array([0x7F, 0x1F, 0x0F, 0x07], np.uint8)[more]).astype(np.uint64)
+    for k in (1, 2, 3):
+        longer = more >= k
+        codes[longer] = (codes[longer] << np.uint64(6)) | (raw[starts[longer] + k] & 0x3F)
+    return codes, starts
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) arrays of all hashed features of a slice of documents, one pair a kind."""
+    """(row, bucket) arrays of all hashed features of a slice of documents, one pair a kind: character n-grams, words, word pairs."""
     words = Words(data, offsets, lower=False)
     raw, shift = words.raw, np.uint64(64 - BUCKET_BITS)
     bucket = lambda h: (finish(h) >> shift).astype(np.int32)
     if not len(raw):
         return
-    wide = raw.astype(np.uint64)
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))
+    characters, starts = code_points(raw)
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))[starts]
     for size in CHAR_SIZES:
-        if len(raw) < size:
+        n = len(characters) - size + 1
+        if n < 1:
             continue
-        gram = np.full(len(raw) - size + 1, size, np.uint64)
+        gram = np.full(n, size, np.uint64)
         for i in range(size):
-            gram = (gram << np.uint64(8)) | wide[i : len(raw) - size + 1 + i]
-        whole = rows[: len(gram)] == rows[size - 1 :]
-        yield rows[: len(gram)][whole], bucket(gram[whole])
+            gram = gram * GRAM_FACTOR + characters[i : n + i]
+        whole = rows[:n] == rows[size - 1 :]
+        yield rows[:n][whole], bucket(gram[whole])
     if len(words.hash):
         yield words.document, bucket(words.hash)
         same = words.document[1:] == words.document[:-1]
-        left, right = words.hash[:-1][same], words.hash[1:][same]
-        # A pair of equal words is one feature whatever the word.
-        pair = np.where(left == right, np.uint64(7), left * np.uint64(3) + right)
-        yield words.document[1:][same], bucket(pair)
+        yield words.document[1:][same], bucket(words.hash[:-1][same] * PAIR_FACTOR + words.hash[1:][same])
 
 
 @dataclass(frozen=True)
@@ -126,7 +142,8 @@ def labelled_sample(
     """Feature counts of at most ``per_class`` documents of each class, none of them held out.
 
     An id with two different labels, or a null one, is not used.  The sample is the
-    first ids by hash; its size does not grow with the input.
+    first ids by hash, ``MAX_TRAIN_FEATURES`` features at most; its size does not
+    grow with the input.  Texts of the sample alone go to Python, whole.
     """
     spark = documents.sparkSession
     usable = (
@@ -139,40 +156,33 @@ def labelled_sample(
     usable = settle(usable.select("id", "label"))
     totals = {row["label"]: row["n"] for row in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = [first_by_hash(usable.where(F.col("label") == c), F.xxhash64("id"), ["id"], per_class, n) for c, n in totals.items()]
-    ids = {row["id"]: row["label"] for part in chosen for row in part}
+    ids = [(row["id"], row["label"]) for part in chosen for row in part]
     if not ids:
         return []
-    shared = spark.sparkContext.broadcast(ids)
+    # At most two classes of `per_class` ids.
+    sample = F.broadcast(spark.createDataFrame(ids, "of long, label int"))
+    texts = documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = [i for i, key in enumerate(batch.column(0).to_pylist()) if key in shared.value]
-            if not mine:
-                continue
-            part = batch.take(pa.array(mine))
-            data, offsets = text_buffers(part.column(1))
-            keys, buckets, shares = part.column(0).to_pylist(), [], []
-            for i in range(len(keys)):
+            data, offsets = text_buffers(batch.column(2))
+            buckets, shares = [], []
+            for i in range(batch.num_rows):
                 found = [b for _, b in features(data, offsets[i : i + 2])]
                 unique, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
                 buckets.append(unique.astype(np.int32).tobytes())
                 shares.append((count / max(count.sum(), 1)).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())], ["id", "buckets", "shares"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(buckets, pa.binary()), pa.array(shares, pa.binary())], ["id", "label", "buckets", "shares"])
 
-    rows = (
-        documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
-        .mapInArrow(extracted, "id long, buckets binary, shares binary")
-    )
-    # Extracted in parallel and then read part by part, so that the driver holds the sample once.
-    found = []
-    for row in settle(rows).coalesce(16).toLocalIterator():
-        if len(row["buckets"]):
-            found.append((row["id"], bytes(row["buckets"]), bytes(row["shares"])))
-    found.sort()
-    once = [e for i, e in enumerate(found) if not i or e != found[i - 1]]
-    return [(ids[k], np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for k, b, s in once]
+    rows = texts.join(sample, F.col("id") == F.col("of")).select("id", "label", "text").mapInArrow(extracted, "id long, label int, buckets binary, shares binary")
+    # Equal texts of an id are one; of an id with very many texts the first by hash compete.
+    rows = settle(rows.where(F.length("buckets") > 0).groupBy("id", "label", "buckets", "shares").agg(F.lit(1).alias("one")).drop("one").withColumn("key", F.xxhash64("id", "buckets")))
+    sizes = rows.select("key", (F.length("buckets") / 4).cast("long").alias("n")).orderBy(F.xxhash64("key"), "key").limit(2 * per_class).collect()
+    upto = np.searchsorted(np.cumsum([r["n"] for r in sizes]), MAX_TRAIN_FEATURES, "right")
+    kept = F.broadcast(spark.createDataFrame([(r["key"],) for r in sizes[: int(upto)]], "kept long"))
+    # Read part by part, so that the driver holds the sample once.
+    found = [(r["id"], r["label"], bytes(r["buckets"]), bytes(r["shares"])) for r in rows.join(kept, F.col("key") == F.col("kept")).coalesce(16).toLocalIterator()]
+    return [(label, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for _, label, b, s in sorted(found)]
 
 
 def fit(
@@ -191,8 +201,8 @@ def fit(
 def score(documents: DataFrame, model: QualityModel, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``documents`` with ``score`` (0 to 1) and ``predicted`` (1 at ``threshold`` or above) added.
 
-    A null or empty text has the score of the bias.  All rows stay, repeated ones
-    too; columns named like the added ones are replaced; an empty table stays empty.
+    A null or empty text has the score of the bias.  A very long text is scored whole,
+    in slices of its own.  All rows stay, repeated ones too; columns named like the added ones are replaced; an empty table stays empty.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.llm import archive, exact_topk, jaccard_join, language_model, line_dedup, mixing, packing, quality_model, repetition, url_filter
+from quarrylane.llm.shared import remove, settle
 
 #: Fixed values of the contract of op1: (verdict, rule).
 URL_RULES = [
@@ -84,7 +85,7 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.decode("header", "UTF-8")
     field = lambda pattern: F.regexp_extract(header, pattern, 1)
     number = lambda c: F.expr("try_cast(%s AS BIGINT)" % c)
-    return records.select(
+    found = records.select(
         F.length("payload").cast("long").alias("payload_bytes"),
         field(r"\r\nWARC-Payload-Digest: sha1:([A-Z2-7]{32})\r\n").alias("payload_digest"),
         field(r"\r\nWARC-Type: (\w+)\r\n").alias("record_type"),
@@ -93,6 +94,10 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(
         number("own").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("other").alias("refers_to")
     )
+    # The digests are kept and the archive goes.
+    found = settle(found)
+    remove(spark, path)
+    return found
 
 
 OP6_SQL = r"""

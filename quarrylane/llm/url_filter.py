@@ -1,14 +1,16 @@
 """URL filter: allow and block rules, and gradient-boosted trees on lexical features for the rest.
 
-Trees are learned by histograms in numpy from a bounded sample of labelled URLs.
-Statistics of host suffixes (how many URLs, and how often labelled ones are to be
-blocked) are counted over all rows, in a fixed number of hash buckets.
+Features are JVM expressions.  Statistics of host suffixes (how many distinct URLs
+there are, and which share of the labelled ones is to be blocked) are exact tables a
+suffix, pre-aggregated and joined to the URLs.  A labelled URL's share is counted on
+the other folds, so that its label is not in its own features.  Trees are learned by
+histograms in numpy from a bounded sample of distinct labelled URLs, of which only
+the features reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.shared import ascii_lower, first_by_hash
+from quarrylane.llm.shared import ascii_lower, settle
 
-#: Bound of the labelled sample: URLs of each verdict, the first by hash.
+#: Bound of the labelled sample: distinct URLs of each verdict, the first by hash.
 MAX_TRAIN_PER_VERDICT = 10_000
-SUFFIX_BUCKETS = 4096
+#: Folds of labelled URLs for the shares of suffixes.
+FOLDS = 5
 MAX_RULES = 1000
 TREES, DEPTH, BINS, RATE, LEAST_LEAF, SMOOTHING = 60, 4, 64, 0.2, 10, 1.0
 
@@ -58,32 +61,25 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> Col
     return F.greatest(none, none, *found)
 
 
-def suffix_bucket(host: Column, labels: int) -> Column:
-    """Bucket of the last ``labels`` labels of a host."""
-    return F.pmod(F.xxhash64(F.lit(labels), F.substring_index(host, ".", -labels)), F.lit(SUFFIX_BUCKETS)).cast("int")
-
-
 FEATURES = (
     "length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "query_length", "has_fragment",
-    "hyphens", "longest_digits", "https", "upper_ratio", "other_ratio", "last_segment", "suffix_log_count", "suffix_rate", "domain_log_count", "domain_rate",
+    "hyphens", "longest_digits", "https", "upper_ratio", "other_ratio", "last_segment", "suffix_log_count", "domain_log_count", "suffix_rate", "domain_rate",
 )
 
 
-def lexical(url: str, host: str, path: str) -> list[float]:
-    """The features of one URL that need no statistics."""
-    n = max(len(url), 1)
-    counts = Counter(url)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    query = url.partition("?")[2].partition("#")[0]
-    digits = run = longest = 0
-    for c in url:
-        run = run + 1 if "0" <= c <= "9" else 0
-        digits += run > 0
-        longest = max(longest, run)
+def lexical(url: Column, host: Column, path: Column) -> list[Column]:
+    """The features of a URL that need no statistics, in the order of ``FEATURES``."""
+    n = F.greatest(F.char_length(url), F.lit(1))
+    count = lambda text, pattern: F.regexp_count(text, F.lit(pattern))
+    without_fragment = F.substring_index(url, "#", 1)
+    query = F.when(F.instr(without_fragment, "?") > 0, F.expr("substr(_plain, instr(_plain, '?') + 1)")).otherwise("")
+    times = lambda c: (F.char_length(url) - F.char_length(F.replace(url, c, F.lit("")))) / n
+    entropy = F.aggregate(F.filter(F.array_distinct(F.split(url, "")), lambda c: c != ""), F.lit(0.0), lambda total, c: total - times(c) * F.log2(times(c)))
+    runs = F.transform(F.regexp_extract_all(url, F.lit("[0-9]+"), F.lit(0)), F.char_length)
     return [
-        len(url), len(host), len(path), path.count("/"), host.count(".") + 1, digits / n, entropy, query.count("=") + query.count("&"), len(query),
-        float("#" in url), counts["-"] + counts["_"], longest, float(url.startswith("https:")), sum("A" <= c <= "Z" for c in url) / n,
-        sum(ord(c) > 126 or c == "%" for c in url) / n, len(path.rpartition("/")[2]),
+        F.char_length(url), F.char_length(host), F.char_length(path), count(path, "/"), count(host, r"\.") + 1, count(url, "[0-9]") / n, entropy,
+        count(query, "[=&]"), F.char_length(query), F.contains(url, F.lit("#")).cast("int"), count(url, "[-_]"), F.coalesce(F.array_max(runs), F.lit(0)),
+        F.startswith(url, F.lit("https:")).cast("int"), count(url, "[A-Z]") / n, count(url, "[^\\x00-\\x7E]|%") / n, F.char_length(F.substring_index(path, "/", -1)),
     ]
 
 
@@ -105,15 +101,10 @@ class Tree:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Boosted trees, and suffix statistics as (log count, smoothed blocked share) a bucket for one and two labels."""
+    """Boosted trees over rows of ``FEATURES``."""
 
     base: float
     trees: list[Tree]
-    suffixes: np.ndarray
-
-    def matrix(self, urls: list[str], hosts: list[str], paths: list[str], one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        plain = np.array([lexical(*u) for u in zip(urls, hosts, paths)], float).reshape(-1, len(FEATURES) - 4)
-        return np.hstack([plain, self.suffixes[0][one], self.suffixes[1][two]])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         """Probability that the URL is to be blocked."""
@@ -164,38 +155,64 @@ def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[Tree]]:
 
 
 def parsed(pages: DataFrame, url_column: str) -> DataFrame:
-    """``pages`` with working columns for the URL, its host, path and suffix buckets."""
+    """``pages`` with working columns for the URL, its host, path, suffixes and fold."""
     url = F.col(f"`{url_column}`")
-    return pages.withColumns({"_url": F.coalesce(url, F.lit("")), "_host": host_of(url), "_path": path_of(url)}).withColumns(
-        {"_one": suffix_bucket(F.col("_host"), 1), "_two": suffix_bucket(F.col("_host"), 2)}
-    )
+    parts = pages.withColumns({"_url": F.coalesce(url, F.lit("")), "_host": host_of(url), "_path": path_of(url)})
+    return parts.withColumns(
+        {
+            "_one": F.substring_index("_host", ".", -1), "_two": F.substring_index("_host", ".", -2),
+            "_fold": F.pmod(F.xxhash64(F.lit("fold"), "_url"), F.lit(FOLDS)).cast("int"), "_plain": F.substring_index("_url", "#", 1),
+        }
+    )
+
+
+def with_features(urls: DataFrame) -> DataFrame:
+    """Parsed rows with ``_blocked`` (1, 0 or null: not labelled) and ``_x``, their features.
+
+    Suffix statistics count distinct URLs of all rows, so copies of one URL weigh
+    once.  The share of a labelled URL leaves its fold out.  The tables have a row a
+    suffix; a suffix of many URLs is pre-aggregated before it is shuffled, and the
+    joins back are plain ones, whose skewed partitions adaptive execution splits.
+    """
+    distinct = urls.groupBy("_url", "_one", "_two", "_fold").agg(F.max("_blocked").alias("_blocked"))
+    counts = {"n": F.count("*")} | {
+        f"{name}{i}": F.sum(F.when(F.col("_fold") == i, value).otherwise(0))
+        for name, value in (("labelled", F.col("_blocked").isNotNull().cast("int")), ("blocked", F.coalesce("_blocked", F.lit(0))))
+        for i in range(FOLDS)
+    }
+    both = distinct.withColumn("of", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("_one").alias("s")), F.struct(F.lit(2).alias("k"), F.col("_two").alias("s")))))
+    table = settle(both.groupBy("of.k", "of.s").agg(*[c.alias(n) for n, c in counts.items()]))
+    rates, joined = [], urls
+    for k, column in ((1, "_one"), (2, "_two")):
+        of = table.where(F.col("k") == k).select(F.col("s").alias(f"_s{k}"), F.struct(*counts).alias(f"_stats{k}"))
+        joined = joined.join(of, F.col(column) == F.col(f"_s{k}"))
+        total = lambda name: sum(
+            (F.when(F.col("_blocked").isNotNull() & (F.col("_fold") == i), 0).otherwise(F.col(f"_stats{k}.{name}{i}")) for i in range(FOLDS)), F.lit(0)  # noqa: B023
+        )
+        rates.append((F.log1p(F.col(f"_stats{k}.n").cast("double")), (total("blocked") + 1) / (total("labelled") + 2)))
+    plain = lexical(F.col("_url"), F.col("_host"), F.col("_path"))
+    values = [*plain, *(r[0] for r in rates), *(r[1] for r in rates)]
+    return joined.withColumn("_x", F.array(*[v.cast("double") for v in values])).drop("_s1", "_s2", "_stats1", "_stats2")
 
 
 def fit(urls: DataFrame, per_verdict: int = MAX_TRAIN_PER_VERDICT) -> UrlModel:
-    """Learns from ``urls``: parsed rows with ``_blocked`` 1, 0 or null (not labelled).
+    """Learns from rows ``with_features``, of which ``_blocked`` is the label where there is one.
 
-    Suffix statistics cover all rows; the trees learn from at most ``per_verdict``
-    URLs of each verdict, the first by hash.  Without labels of both kinds there
-    are no trees and the prior decides.
+    The trees learn from at most ``per_verdict`` distinct URLs of each verdict, the
+    first by hash; copies of a URL are one.  Without labels of both kinds there are
+    no trees and the prior decides.
     """
-    table, labelled = np.zeros((2, SUFFIX_BUCKETS, 2)), [0, 0]
-    for k, column in enumerate(("_one", "_two")):
-        for row in urls.groupBy(column).agg(F.count("*").alias("n"), F.count("_blocked").alias("labelled"), F.sum("_blocked").alias("blocked")).collect():
-            blocked = row["blocked"] or 0
-            table[k, row[column]] = math.log1p(row["n"]), (blocked + 1) / (row["labelled"] + 2)
-            if k == 0:
-                labelled = [labelled[0] + row["labelled"] - blocked, labelled[1] + blocked]
-    columns = ["_url", "_host", "_path", "_one", "_two", "_blocked"]
-    rows = []
+    kinds = urls.agg(*[F.approx_count_distinct(F.when(F.col("_blocked") == v, F.col("_url")), 0.02).alias(f"n{v}") for v in (0, 1)]).first()
+    x, y = [], []
     for verdict in (0, 1):
-        of = urls.where(F.col("_blocked") == verdict).select(*columns)
-        rows += first_by_hash(of, F.xxhash64("_url"), ["_url"], per_verdict, labelled[verdict])
-    model = UrlModel(0.0, [], table)
-    if not rows:
-        return model
-    url, host, path, one, two, blocked = zip(*rows)
-    x = model.matrix(list(url), list(host), list(path), np.array(one), np.array(two))
-    return UrlModel(*boost(x, np.array(blocked, float)), table)
+        of = urls.where(F.col("_blocked") == verdict).select(F.xxhash64("_url").alias("h"), "_x")
+        share = min(1.0, 2 * per_verdict / max(kinds[f"n{verdict}"], 1))
+        # Only URLs under the threshold are told apart and compete.
+        within = of if share >= 1 else of.where(F.col("h") < -(1 << 63) + int((1 << 64) * share))
+        found = within.groupBy("h").agg(F.min("_x").alias("x")).orderBy("h").limit(per_verdict).collect()
+        x += [r["x"] for r in found]
+        y += [float(verdict)] * len(found)
+    return UrlModel(*boost(np.array(x, float).reshape(-1, len(FEATURES)), np.array(y)))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url_column: str = "url", per_verdict: int = MAX_TRAIN_PER_VERDICT, threshold: float = 0.5) -> DataFrame:
@@ -203,24 +220,22 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_column: str = "url
 
     The longest rule that fits decides; the trees, learned from the URLs that rules
     label, decide the rest.  A null URL, or one without ``://``, has an empty host
-    and path, fits no rule and is decided by the trees.  All rows stay, repeated
-    ones too; columns named like the added ones are replaced; an empty table stays
-    empty.
+    and path, fits no rule and is decided by the trees.  Very long URLs are judged
+    whole.  All rows stay, repeated ones too, with equal verdicts for equal URLs;
+    columns named like the added ones are replaced; an empty table stays empty.
     """
     given = pages.drop("host", "path", "rule", "verdict", "block_probability")
     work = parsed(given, url_column)
     work = work.withColumn("_fit", match_rules(F.col("_host"), F.col("_path"), rules))
-    blocked = F.when(F.col("_fit").isNotNull(), (F.col("_fit.verdict") == "block").cast("int"))
-    model = fit(work.select("_url", "_host", "_path", "_one", "_two", blocked.alias("_blocked")), per_verdict)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    work = with_features(work.withColumn("_blocked", F.when(F.col("_fit").isNotNull(), (F.col("_fit.verdict") == "block").cast("int"))))
+    shared = pages.sparkSession.sparkContext.broadcast(fit(work, per_verdict))
 
     @F.pandas_udf("double")
-    def probability(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for url, host, path, one, two in batches:
-            x = shared.value.matrix(url.tolist(), host.tolist(), path.tolist(), one.to_numpy(np.int64), two.to_numpy(np.int64))
-            yield pd.Series(shared.value.probability(x), dtype=float)
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(shared.value.probability(np.array(x.tolist(), float).reshape(-1, len(FEATURES))), dtype=float)
 
-    work = work.withColumn("block_probability", probability("_url", "_host", "_path", "_one", "_two"))
+    work = work.withColumn("block_probability", probability("_x"))
     by_trees = F.when(F.col("block_probability") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return work.select(
         *[F.col(f"`{c}`") for c in given.columns],

@@ -200,6 +200,14 @@ def test_packing_odd(odd):
     assert rows_of(packing.pack(odd.limit(0), queries.tokenizer_path())) == []
 
 
+def test_packing_does_not_depend_on_partitions(spark, documents):
+    small = documents.where("doc_id < 300").select("doc_id", "text")
+    copies = small.unionByName(small.where("doc_id % 3 = 0")).unionByName(spark.createDataFrame([(None, None)] * 40, "doc_id long, text string"))
+    found = [Counter(map(tuple, packing.pack(copies.repartition(n), queries.tokenizer_path()).collect())) for n in (3, 7)]
+    assert found[0] == found[1]
+    assert len({(r[5], r[6]) for r in found[0]}) == sum(found[0].values())
+
+
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 50), max_size=12))
 @settings(deadline=None)
 def test_histogram_packing(histogram):
@@ -274,6 +282,55 @@ def test_quality_classifier_held_out(spark, documents):
     assert good.predicted.mean() > 0.97 and bad.predicted.mean() < 0.25
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_finish(h):
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & MASK
+    return h ^ (h >> 31)
+
+
+def plain_word_hash(word):
+    raw = word.encode()
+    values = (plain_finish(((i * 256 + b + 1) * 0x9E3779B97F4A7C15) & MASK) for i, b in enumerate(raw))
+    return plain_finish((sum(values) + len(raw)) & MASK)
+
+
+def plain_quality_score(text, logits, bias):
+    """One text's score, feature by feature in Python."""
+    found = []
+    for size in (3, 5):
+        for i in range(len(text) - size + 1):
+            gram = size
+            for c in text[i : i + size]:
+                gram = (gram * 0xD1342543DE82EF95 + ord(c)) & MASK
+            found.append(gram)
+    words = [plain_word_hash(w) for w in WORD.findall(text)]
+    found += words + [(a * 3 + b) & MASK for a, b in zip(words, words[1:])]
+    total = sum(float(logits[plain_finish(h) >> (64 - quality_model.BUCKET_BITS)]) for h in found)
+    return 1 / (1 + math.exp(-(bias + total / max(len(found), 1))))
+
+
+def test_quality_scores_against_a_plain_scorer(spark, documents, odd):
+    random = np.random.default_rng(2)
+    model = quality_model.QualityModel(random.normal(0, 5, 1 << quality_model.BUCKET_BITS).astype(np.float32), 0.25)
+    some = documents.where("doc_id % 9 = 0").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    for r in quality_model.score(some, model).collect():
+        assert r["score"] == pytest.approx(plain_quality_score(r["text"] or "", model.logits, model.bias))
+        assert r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_quality_sample_is_bounded_and_counts_texts_once(spark, monkeypatch):
+    rows = [(i, f"text number {i} says {i % 7} things") for i in range(40)] + [(3, f"another text {i}") for i in range(60)] + [(5, "text number 5 says 5 things")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    sample = lambda **k: quality_model.labelled_sample(df, labels, "quality", "doc_id", "text", 10**6, **k)
+    assert len(sample(per_class=1000)) == 100 and len(sample(per_class=5)) <= 10
+    monkeypatch.setattr(quality_model, "MAX_TRAIN_FEATURES", 300)
+    assert 0 < sum(len(b) for _, b, _ in sample(per_class=1000)) <= 300
+
+
 def test_quality_classifier_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1, None), (5, 0, None), (6, 1, None), (6, 0, None), (None, 1, None), (7, None, None), (99, 0, None)], "doc_id long, quality int, text string")
     model = quality_model.fit(odd, labels, folds=1000)
