@@ -1,17 +1,25 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation in numpy.
 
-Corpus statistics are exact over all training texts: the count of every word (the
-vocabulary is a table that grows with the input and never leaves the cluster), and
-the count of every pair of the model's symbols, a distributed table too.  A
-log-bilinear model with one word of context depends on its corpus through those
-pairs alone, so sampling pairs by their counts is stochastic training on the whole
-corpus.  Draws grow with the training tokens; shards train in tasks of their own.
-
-The model's symbols grow with the square root of the training tokens: frequent words
-have a vector of their own, all others share the vectors of classes they are hashed
-to, and within a class the smoothed unigram shares the class's probability.  A class
-also has room for one word never seen.  The normaliser of a context over all symbols
-is computed once, so a token costs one product of two vectors.
+The vectors of the words before a token, each turned by the matrix of its distance,
+add up to a prediction; the token's probability is a softmax of products with it.  The
+softmax has two levels: symbols lie in groups by falling frequency, about as many
+groups as members, and a token's probability is that of its group times that of the
+symbol in the group.  Both levels are trained by noise-contrastive estimation, and
+batched matrix products over all groups and over all members of the token's group give
+normalised log-probabilities.
+
+Corpus statistics are exact over all training texts: the count of every word is a
+table that grows with the input and never leaves the cluster.  The model's symbols grow
+with the cube root of the training tokens: frequent words have a vector of their own,
+all others share the vectors of classes they are hashed to, and within a class the
+smoothed unigram shares the class's probability.  A class also has room for one word
+never seen.
+
+Training texts are dealt to shards by a hash.  One shard warms the model up; then every
+shard trains it in a task of its own, on draws from its tokens, and each vector becomes
+the mean over shards, weighted by how often they have it.  A shard has at least
+``TOKENS_A_SYMBOL`` tokens a symbol, so what the shards send is a bounded share of the
+input at every size.
 
 Words are keyed by 64-bit hashes.  Counts of the most frequent words travel to all
 tasks (a bounded table); the other words of each document meet their counts in a join.
@@ -22,30 +30,35 @@ from __future__ import annotations
 import copy
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylane.llm.shared import Words, release, settle, slices, text_buffers
+from quarrylane.llm.shared import Words, give_back, release, settle, slices, text_buffers
 
-#: Symbols of the model: so many, and so many times the square root of the training tokens; a quarter are classes.
-LEAST_SYMBOLS, SYMBOLS_A_ROOT = 1 << 14, 4
+#: Symbols of the model: so many, and so many times the cube root of the training tokens; a quarter are classes.
+LEAST_SYMBOLS, SYMBOLS_A_ROOT = 1 << 14, 64
 #: Bound of the table of frequent words (16 bytes each) that every task holds; more if more words have a vector of their own.
 FREQUENT_WORDS = 1 << 18
-DIMENSIONS, NOISE, BATCH, RATE = 24, 64, 1024, 0.1
+#: Words of context.
+CONTEXT = 3
+DIMENSIONS, BATCH, RATE = 24, 1024, 0.1
+#: Noise draws: groups, shared by a batch, and members of the group, for each token.
+NOISE_GROUPS, NOISE_MEMBERS = 32, 8
 #: Training draws: so many batches, and so many draws of every training token.
-STEPS, DRAWS_A_TOKEN = 2500, 0.5
-#: Training tokens of a shard, which one task trains on.
-SHARD_TOKENS = 1 << 23
-#: Vectors of one block of averages, and logits of one block of contexts.
-BLOCK_ROWS, BLOCK_LOGITS = 4096, 1 << 22
+STEPS, DRAWS_A_TOKEN = 2500, 0.1
+#: Training tokens of a shard for each symbol of the model.
+TOKENS_A_SYMBOL = 128
+#: Vectors of one block of averages, shards averaged at once, and tokens scored at once.
+BLOCK_ROWS, AVERAGED_AT_ONCE, SCORED_AT_ONCE = 4096, 64, 1 << 14
 #: The key of the end token.
 END = np.int64(-0x5851F42D4C957F2D)
 SLICE_BYTES = 1 << 20
-_DISTINCT_AT_ONCE = 1 << 20
+_DISTINCT_AT_ONCE = 1 << 19
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -80,39 +93,41 @@ def word_counts(texts: DataFrame) -> DataFrame:
                         parts, distinct = [], 0
         if parts:
             yield out(*_merged(parts))
+        del parts
+        give_back()
 
     return texts.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, most: int) -> dict[int, int]:
-    """All words at or over a count that at most ``most`` words reach."""
+def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All words at or over a count that at most ``most`` words reach, and their counts; the end token is always one."""
     level = F.floor(F.log2(F.col("n").cast("double")) * 16)
     sizes = {r["level"]: r["words"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()}
-    total, least = 0, None
+    total, least = 0, math.inf
     for value in sorted(sizes, reverse=True):
         total += sizes[value]
         if total > most:
             break
         least = value
-    if least is None:
-        return {}
-    return {r["word"]: r["n"] for r in counts.where(level >= least).collect()}
+    found = counts.where((level >= least) | (F.col("word") == int(END))).toArrow()
+    words, n = found["word"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(words)
+    return words[order], n[order]
 
 
 class Tokens:
     """Looks up words: their place in the model and their training count where it is frequent.
 
-    Words with a vector of their own come first, then the classes that all other words are hashed to, then the
-    context before the first word.
+    Words with a vector of their own come first, most frequent ones ahead, then the classes that all other words are
+    hashed to, then the symbol before the first word.
     """
 
-    def __init__(self, frequent: dict[int, int], own: list[int], classes: int):
-        self.keys = np.array(sorted(frequent), np.int64)
-        self.counts = np.array([frequent[k] for k in self.keys.tolist()], np.int64)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, own: np.ndarray, classes: int):
+        """``keys`` ascend; ``own`` says which of them have a vector of their own, in the order of their places."""
+        self.keys, self.counts = keys, counts
         self.rest, self.classes, self.start = len(own), classes, len(own) + classes
-        place = {w: i for i, w in enumerate(own)}
-        self.places = np.array([place.get(k, -1) for k in self.keys.tolist()], np.int64)
-        self.places = np.where(self.places < 0, self.hashed(self.keys), self.places)
+        self.places = self.hashed(keys)
+        self.places[own] = np.arange(len(own))
 
     def hashed(self, words: np.ndarray) -> np.ndarray:
         return self.rest + words % self.classes
@@ -125,264 +140,316 @@ class Tokens:
         known = self.keys[at] == words
         return np.where(known, self.places[at], self.hashed(words)), np.where(known, self.counts[at], -1)
 
-    def contexts(self, words: Words, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place before each word, and the place before each document's end."""
-        before = np.full(len(places), self.start)
-        before[1:] = np.where(words.document[1:] == words.document[:-1], places[:-1], self.start)
-        n = np.diff(words.first)
-        last = np.full(len(n), self.start)
-        last[n > 0] = places[words.first[1:][n > 0] - 1]
-        return before, last
+    def row(self, words: Words, places: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All documents of a slice in a row, each as ``CONTEXT`` start symbols, its places and the end; and where words and ends are."""
+        n = len(words.first) - 1
+        flat = np.full(len(places) + (CONTEXT + 1) * n, self.start, np.int32)
+        at = np.arange(len(places)) + (CONTEXT + 1) * words.document + CONTEXT
+        ends = words.first[1:] + (CONTEXT + 1) * np.arange(n) + CONTEXT
+        flat[at], flat[ends] = places, end
+        return flat, at, ends
 
 
-def pair_counts(texts: DataFrame, tokens: Tokens) -> DataFrame:
-    """(cell, n) counts of the pairs of all training texts; a cell is context * symbols + symbol."""
-    shared = texts.sparkSession.sparkContext.broadcast(tokens)
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[starts], np.add.reduceat(values[order], starts, axis=0)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts, distinct = shared.value, [], 0
-        out = lambda k, c: pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["cell", "n"])
-        end = own.find(np.array([END]))[0][0]
-        for batch in batches:
-            for _, _, words in _slices(batch.column(0)):
-                places, _ = own.find(words.hash.view(np.int64))
-                before, last = own.contexts(words, places)
-                parts.append(np.unique(np.concatenate([before * own.start + places, last * own.start + end]), return_counts=True))
-                distinct += len(parts[-1][0])
-                if distinct > _DISTINCT_AT_ONCE:
-                    parts = [_merged(parts)]
-                    distinct = len(parts[0][0])
-                    if distinct > _DISTINCT_AT_ONCE // 2:
-                        yield out(*parts[0])
-                        parts, distinct = [], 0
-        if parts:
-            yield out(*_merged(parts))
 
-    return texts.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
 class Model:
-    """A context's vector, turned by a matrix, predicts the word's vector; words have biases that start at their unigram."""
+    """Vectors of context words, a matrix a distance, and vectors and biases of groups and of members, which start at their unigram."""
+
+    PARTS = ("query", "turn", "answer", "bias", "group", "group_bias")
 
     def __init__(self, unigram: np.ndarray, seed: int = 10):
         random = np.random.default_rng(seed)
         words = len(unigram)
+        self.width = math.isqrt(max(words - 1, 0)) + 1
+        self.groups = -(-words // self.width)
         # A single word is certain and needs no vectors.
         spread = 0.1 if words > 1 else 0.0
-        self.log_unigram = np.log(unigram).astype(np.float32)
-        self.query = random.normal(0, spread, (words + 1, DIMENSIONS)).astype(np.float32)
-        self.turn = np.eye(DIMENSIONS, dtype=np.float32)
-        self.answer = random.normal(0, spread, (words, DIMENSIONS)).astype(np.float32)
-        self.bias = self.log_unigram.copy()
-
-    def fit(self, cells: np.ndarray, counts: np.ndarray, steps: int, seed: int, rate: float = RATE) -> None:
-        """Noise-contrastive estimation on pairs drawn by their counts; noise is drawn from their own words, for a batch at once.
-
-        Scores are relative to the unigram of the whole corpus, so a shard that has a
-        word more often than its share does not raise the word.
-        """
+        some = lambda *shape: random.normal(0, spread, shape).astype(np.float32)
+        mass = np.add.reduceat(unigram, np.arange(0, words, self.width))
+        self.chance = np.concatenate([[0.0], np.cumsum(unigram)])
+        self.group_bias = np.log(mass).astype(np.float32)
+        self.bias = (np.log(unigram) - np.log(mass)[np.arange(words) // self.width]).astype(np.float32)
+        self.noise, self.group_noise = self.bias.copy(), self.group_bias.copy()
+        self.query, self.answer, self.group = some(words + 1, DIMENSIONS), some(words, DIMENSIONS), some(self.groups, DIMENSIONS)
+        self.turn = np.stack([np.eye(DIMENSIONS, dtype=np.float32) / (k + 1) for k in range(CONTEXT)])
+
+    def fit(self, documents: list[np.ndarray], copies: np.ndarray, steps: int, seed: int, rate: float = RATE) -> None:
+        """Noise-contrastive estimation on tokens drawn from ``documents`` (rows of places, the end last), each ``copies`` times."""
         words = len(self.bias)
-        if not len(cells) or words < 2:
+        if not documents or words < 2:
             return
         random = np.random.default_rng(seed)
-        chance = np.cumsum(counts / counts.sum())
-        noises = np.bincount(cells % words, counts, words)
-        noises = np.cumsum(noises / noises.sum())
-        squares = [np.ones(v.shape, np.float32) for v in (self.query, self.turn, self.answer, self.bias)]
-
-        def move(value: np.ndarray, square: np.ndarray, at: np.ndarray | slice, gradient: np.ndarray, pace: float) -> None:
+        sizes = np.array([len(d) for d in documents])
+        flat = np.full(sizes.sum() + CONTEXT * len(sizes), words, np.int32)
+        first = np.cumsum(sizes) - sizes + CONTEXT * np.arange(1, len(sizes) + 1)
+        for at, d in zip(first, documents):
+            flat[at : at + len(d)] = d
+        drawn = np.cumsum(sizes * copies.astype(np.float64))
+        squares = {p: np.ones(getattr(self, p).shape, np.float32) for p in self.PARTS}
+        back_by = np.arange(1, CONTEXT + 1)
+        bounds = np.append(self.chance[:: self.width][: self.groups], self.chance[-1])
+        spare_groups = self.group_noise + np.float32(math.log(NOISE_GROUPS))
+        spare = self.noise + np.float32(math.log(NOISE_MEMBERS))
+
+        def move(part: str, at: np.ndarray | slice, gradient: np.ndarray, pace: float) -> None:
+            square = squares[part]
             square[at] += gradient**2
-            value[at] -= pace * gradient / np.sqrt(square[at])
+            getattr(self, part)[at] -= pace * gradient / np.sqrt(square[at])
 
-        spare = self.log_unigram + np.float32(math.log(NOISE))
         for step in range(steps):
-            cell = cells[np.minimum(np.searchsorted(chance, random.random(BATCH), "right"), len(cells) - 1)]
-            context, word = np.divmod(cell, words)
-            others = np.minimum(np.searchsorted(noises, random.random(NOISE), "right"), words - 1)
+            d = np.minimum(np.searchsorted(drawn, random.random(BATCH) * drawn[-1], "right"), len(sizes) - 1)
+            at = first[d] + (random.random(BATCH) * sizes[d]).astype(np.int64)
+            context, word = flat[at[:, None] - back_by], flat[at]
+            group = word // self.width
+            others = np.clip(np.searchsorted(bounds, random.random(NOISE_GROUPS) * bounds[-1], "right") - 1, 0, self.groups - 1)
+            low, high = bounds[group], bounds[group + 1]
+            noise = np.searchsorted(self.chance, low[:, None] + random.random((BATCH, NOISE_MEMBERS)) * (high - low)[:, None], "right") - 1
+            noise = np.clip(noise, group[:, None] * self.width, np.minimum((group + 1) * self.width, words)[:, None] - 1)
+
             own = self.query[context]
-            turned = own @ self.turn
-            answer, noise = self.answer[word], self.answer[others]
-            miss = np.concatenate([
-                1 / (1 + np.exp(-((turned * answer).sum(1) + self.bias[word] - spare[word])))[:, None] - 1,
-                1 / (1 + np.exp(-(turned @ noise.T + self.bias[others] - spare[others]))),
-            ], 1)
-            back = miss[:, :1] * answer + miss[:, 1:] @ noise
+            c = np.einsum("bkd,kde->be", own, self.turn, optimize=True)
+            of_group, of_others, of_word, of_noise = self.group[group], self.group[others], self.answer[word], self.answer[noise]
+            miss_group = _sigmoid((c * of_group).sum(1) + self.group_bias[group] - spare_groups[group]) - 1
+            miss_others = _sigmoid(c @ of_others.T + self.group_bias[others] - spare_groups[others])
+            miss_word = _sigmoid((c * of_word).sum(1) + self.bias[word] - spare[word]) - 1
+            miss_noise = _sigmoid(np.matmul(of_noise, c[:, :, None])[:, :, 0] + self.bias[noise] - spare[noise])
+            back = miss_group[:, None] * of_group + miss_others @ of_others + miss_word[:, None] * of_word
+            back += np.matmul(miss_noise[:, None, :], of_noise)[:, 0]
+
             pace = rate * (1 - step / steps)
-            rows, place = np.unique(np.concatenate([word, others]), return_inverse=True)
-            gradient = np.zeros((len(rows), DIMENSIONS + 1), np.float32)
-            grown = np.concatenate([turned, np.ones((BATCH, 1), np.float32)], 1)
-            np.add.at(gradient, place, np.concatenate([miss[:, :1] * grown, miss[:, 1:].T @ grown]))
-            before, at = np.unique(context, return_inverse=True)
-            of_query = np.zeros((len(before), DIMENSIONS), np.float32)
-            np.add.at(of_query, at, back @ self.turn.T)
-            move(self.turn, squares[1], slice(None), own.T @ back / BATCH, pace)
-            move(self.query, squares[0], before, of_query, pace)
-            move(self.answer, squares[2], rows, gradient[:, :-1], pace)
-            move(self.bias, squares[3], rows, gradient[:, -1], pace)
-
-    def log_totals(self, first: int, last: int) -> np.ndarray:
-        """Logarithms of the sums over all words, of the contexts from ``first`` on."""
-        out, step = [np.zeros(0)], max(1, BLOCK_LOGITS // len(self.bias))
-        for a in range(first, last, step):
-            logits = (self.query[a : min(a + step, last)] @ self.turn) @ self.answer.T + self.bias
-            most = logits.max(1, keepdims=True)
-            out.append((most + np.log(np.exp(logits - most).sum(1, keepdims=True, dtype=np.float64)))[:, 0])
-        return np.concatenate(out)
-
-
-def train(pairs: np.ndarray, seed: int = 10) -> np.ndarray:
-    """log10 probabilities (contexts x words) of a model fitted to a small matrix of pair counts."""
-    contexts, words = pairs.shape
-    total = pairs.sum()
-    model = Model((pairs.sum(0) + 0.5) / (total + 0.5 * words), seed)
-    cells = np.flatnonzero(pairs.ravel())
-    model.fit(cells, pairs.ravel()[cells], STEPS, seed)
-    logits = ((model.query @ model.turn) @ model.answer.T + model.bias)[:contexts]
-    return (logits - model.log_totals(0, len(model.query))[:contexts, None]) / math.log(10)
-
-
-def train_on_shards(pairs: DataFrame, model: Model, tokens: int, seed: int = 10) -> None:
-    """Fits ``model`` to all (cell, n) pairs.
-
-    Each pair's count is split evenly over the shards, a remainder from a hash of the
-    cell on, so a shard is a sample of the corpus.  One shard warms the model up; then
-    every shard trains it on its own pairs, and each vector becomes the mean over
-    shards, weighted by how often they have it.  Shards and draws depend on the counts
-    alone.
+            grown = np.concatenate([c, np.ones((BATCH, 1), np.float32)], 1)
+            rows, gradient = _sums(np.concatenate([group, others]), np.concatenate([miss_group[:, None] * grown, miss_others.T @ grown]))
+            move("group", rows, gradient[:, :-1], pace)
+            move("group_bias", rows, gradient[:, -1], pace)
+            of_all = np.concatenate([miss_word[:, None, None] * grown[:, None], miss_noise[:, :, None] * grown[:, None]], 1)
+            rows, gradient = _sums(np.concatenate([word[:, None], noise], 1).ravel(), of_all.reshape(-1, DIMENSIONS + 1))
+            move("answer", rows, gradient[:, :-1], pace)
+            move("bias", rows, gradient[:, -1], pace)
+            of_query = np.einsum("be,kde->bkd", back, self.turn, optimize=True)
+            of_turn = np.einsum("bkd,be->kde", own, back, optimize=True) / BATCH
+            rows, gradient = _sums(context.ravel(), of_query.reshape(-1, DIMENSIONS))
+            move("query", rows, gradient, pace)
+            move("turn", slice(None), of_turn, pace)
+
+
+class Scorer:
+    """A model ready to give log-probabilities: its context vectors are turned once."""
+
+    def __init__(self, model: Model):
+        self.turned = np.stack([model.query @ t for t in model.turn])
+        self.answer, self.bias, self.group, self.group_bias, self.width = model.answer, model.bias, model.group, model.group_bias, model.width
+
+    def logs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of places after their contexts (nearest first), normalised over all places."""
+        out = np.zeros(len(word))
+        for a in range(0, len(word), SCORED_AT_ONCE):
+            before, w = context[a : a + SCORED_AT_ONCE], word[a : a + SCORED_AT_ONCE]
+            c = self.turned[0][before[:, 0]]
+            for k in range(1, CONTEXT):
+                c = c + self.turned[k][before[:, k]]
+            group = w // self.width
+            order = np.argsort(group, kind="stable")
+            c, w, group = c[order], w[order], group[order]
+            found = self._level(c, self.group, self.group_bias, group)
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            for i, j in zip(starts, np.append(starts[1:], len(w))):
+                members = slice(group[i] * self.width, (group[i] + 1) * self.width)
+                found[i:j] += self._level(c[i:j], self.answer[members], self.bias[members], w[i:j] - members.start)
+            out[a + order] = found
+        return np.minimum(out, 0)
+
+    @staticmethod
+    def _level(c: np.ndarray, vectors: np.ndarray, biases: np.ndarray, picked: np.ndarray) -> np.ndarray:
+        logits = c @ vectors.T
+        logits += biases
+        logits -= logits.max(1, keepdims=True)
+        mine = logits[np.arange(len(picked)), picked].astype(np.float64)
+        np.exp(logits, out=logits)
+        return mine - np.log(logits.sum(1, dtype=np.float64))
+
+
+def _held_out(documents: DataFrame, folds: int, held_out_fold: int, id_column: str) -> Column:
+    key = F.col(f"`{id_column}`").cast("string").cast("binary")
+    return F.coalesce(F.crc32(key) % folds == held_out_fold, F.lit(False))
+
+
+def places_of(texts: DataFrame, tokens: Tokens) -> DataFrame:
+    """(shard, places): every text of (shard, text) as its places and the end, 4 bytes each."""
+    shared = texts.sparkSession.sparkContext.broadcast(tokens)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        end = int(own.find(np.array([END]))[0][0])
+        for batch in batches:
+            for first, last, words in _slices(batch.column(1)):
+                places, _ = own.find(words.hash.view(np.int64))
+                flat, _, ends = own.row(words, places, end)
+                rows = [flat[a : b + 1].tobytes() for a, b in zip(np.concatenate([[CONTEXT], ends[:-1] + 1 + CONTEXT]), ends)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(rows, pa.binary())], ["shard", "places"])
+        give_back()
+
+    return texts.select("shard", "text").mapInArrow(mapped, "shard long, places binary")
+
+
+def train_on_shards(texts: DataFrame, hashed: Column, tokens: Tokens, model: Model, n: int, tokens_a_shard: int, seed: int = 10) -> None:
+    """Fits ``model`` to all ``texts`` (one text column; ``hashed`` deals them to shards), of ``n`` tokens.
+
+    Equal texts of a shard are held once, with their number.  Shards, draws and their
+    order depend on the texts alone, not on how they are partitioned.
     """
-    spark = pairs.sparkSession
-    shards = 1 + tokens // SHARD_TOKENS
-    turns = F.sequence(F.lit(0), F.least(F.col("n"), F.lit(shards)).cast("int") - 1)
-    dealt = settle(
-        pairs.withColumn("i", F.explode(turns)).select(
-            "cell", (F.floor(F.col("n") / shards) + (F.col("i") < F.col("n") % shards).cast("long")).alias("n"),
-            F.pmod(F.pmod(F.xxhash64("cell"), F.lit(shards)) + F.col("i"), F.lit(shards)).cast("int").alias("shard"),
-        )
-    )
-    width = DIMENSIONS + 1
-    steps = STEPS if shards == 1 else math.ceil(STEPS / shards)
-    steps += math.ceil(tokens * DRAWS_A_TOKEN / shards / BATCH)
+    spark = texts.sparkSession
+    shards = 1 + n // tokens_a_shard
+    dealt = texts.withColumn("shard", F.pmod(hashed, F.lit(shards)).cast("long"))
+    steps = math.ceil(STEPS / shards) + math.ceil(n * DRAWS_A_TOKEN / shards / BATCH)
+    # Single rows of these are averaged by weight of their own; the other parts by a shard's tokens.
+    by_row = {"query", "answer", "bias"}
 
     def trained(start: Broadcast, steps: int, seed: int, rate: float) -> Callable[[pa.Table], pa.Table]:
         def fitted(table: pa.Table) -> pa.Table:
-            order = np.argsort(table["cell"].to_numpy())
-            cells, n = table["cell"].to_numpy()[order], table["n"].to_numpy()[order]
+            found: dict[bytes, int] = {}
+            for chunk in table["places"].chunks:
+                for p in chunk:
+                    p = p.as_py()
+                    found[p] = found.get(p, 0) + 1
             shard, old, model = table["shard"][0].as_py(), start.value, copy.deepcopy(start.value)
-            model.fit(cells, n, steps, seed + shard, rate)
-            context, word = np.divmod(cells, len(old.bias))
+            del table
+            ordered = sorted(found)
+            documents, copies = [np.frombuffer(p, np.int32) for p in ordered], np.array([found[p] for p in ordered])
+            model.fit(documents, copies, steps, seed + shard, rate)
+            often, total = np.zeros(len(old.query)), 0.0
+            for d, times in zip(documents, copies):
+                np.add.at(often, d, float(times))
+                total += len(d) * float(times)
+            # As a context, the start symbol comes before every text.
+            often[-1] = copies.sum()
             out = []
-            for kind, weight, new in (
-                ("query", np.bincount(context, n, len(old.query)), model.query - old.query),
-                ("answer", np.bincount(word, n, len(old.bias)), np.column_stack([model.answer - old.answer, model.bias - old.bias])),
-                ("turn", np.full(DIMENSIONS, float(n.sum())), model.turn - old.turn),
-            ):
-                for a in range(0, len(weight), BLOCK_ROWS):
-                    part = weight[a : a + BLOCK_ROWS].astype(np.float64)
-                    out.append((kind, a, shard, part.tobytes(), new[a : a + BLOCK_ROWS].astype(np.float32).tobytes()))
-            return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "first", "shard", "weight", "delta"])
+            for part in Model.PARTS:
+                delta = (getattr(model, part) - getattr(old, part)).astype(np.float32)
+                delta = delta.reshape(len(delta), -1)
+                weight = often[: len(delta)] if part in by_row else np.full(len(delta), total)
+                for a in range(0, len(delta), BLOCK_ROWS):
+                    w = weight[a : a + BLOCK_ROWS]
+                    out.append((part, a, shard, w.tobytes(), (w[:, None] * delta[a : a + BLOCK_ROWS]).astype(np.float32).tobytes()))
+            give_back()
+            return _parts(out)
 
         return fitted
 
-    def averaged(table: pa.Table) -> pa.Table:
-        total, weights = 0, 0
-        for i in np.argsort(table["shard"].to_numpy()):
-            weight = np.frombuffer(table["weight"][i].as_py(), np.float64)
-            delta = np.frombuffer(table["delta"][i].as_py(), np.float32).reshape(len(weight), -1)
-            total, weights = total + weight[:, None] * delta, weights + weight
-        mean = (total / np.maximum(weights, 1e-9)[:, None]).astype(np.float32)
-        return pa.table([table["kind"].slice(0, 1), table["first"].slice(0, 1), pa.array([mean.tobytes()], pa.binary())], ["kind", "first", "mean"])
-
-    def advance(rows: DataFrame, steps: int, seed: int, rate: float) -> None:
+    def advance(rows: DataFrame, shards: int, steps: int, seed: int, rate: float) -> None:
         start = spark.sparkContext.broadcast(model)
-        parts = rows.groupBy("shard").applyInArrow(trained(start, steps, seed, rate), "kind string, first long, shard long, weight binary, delta binary")
-        means = parts.groupBy("kind", "first").applyInArrow(averaged, "kind string, first long, mean binary")
-        for r in means.toLocalIterator():
-            shape = width if r["kind"] == "answer" else DIMENSIONS
-            mean = np.frombuffer(r["mean"], np.float32).reshape(-1, shape)
-            at = slice(r["first"], r["first"] + len(mean))
-            if r["kind"] == "answer":
-                model.answer[at] += mean[:, :-1]
-                model.bias[at] += mean[:, -1]
-            else:
-                getattr(model, r["kind"])[at] += mean
+        sums = places_of(rows, tokens).groupBy("shard").applyInArrow(trained(start, steps, seed, rate), _PARTS_SCHEMA)
+        while shards > 1:
+            shards = -(-shards // AVERAGED_AT_ONCE)
+            sums = sums.withColumn("shard", F.floor(F.col("shard") / AVERAGED_AT_ONCE).cast("long"))
+            sums = sums.groupBy("part", "first", "shard").applyInArrow(_added, _PARTS_SCHEMA)
+        for r in settle(sums).toLocalIterator():
+            weight, total = np.frombuffer(r["weight"], np.float64), np.frombuffer(r["total"], np.float32)
+            value = getattr(model, r["part"])[r["first"] : r["first"] + len(weight)]
+            value += (total.reshape(len(weight), -1) / np.maximum(weight, 1e-9)[:, None]).astype(np.float32).reshape(value.shape)
         start.destroy()
 
     if shards > 1:
-        advance(dealt.where("shard = 0"), STEPS, seed, RATE)
-    advance(dealt, steps, seed + 1, RATE if shards == 1 else RATE / 2)
+        advance(dealt.where("shard = 0"), 1, STEPS, seed, RATE)
+    advance(dealt, shards, steps, seed + 1, RATE if shards == 1 else RATE / 2)
 
 
-def log_totals(spark: SparkSession, model: Model) -> np.ndarray:
-    """The normaliser of every context, over all words."""
-    shared, contexts = spark.sparkContext.broadcast(model), len(model.query)
-    step = max(1, 16 * BLOCK_LOGITS // len(model.bias))
+_PARTS_SCHEMA = "part string, first long, shard long, weight binary, total binary"
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in batch.column(0).to_pylist():
-                totals = shared.value.log_totals(first, min(first + step, contexts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(totals))), pa.array(totals)], ["context", "total"])
 
-    n = -(-contexts // step)
-    rows = spark.range(0, contexts, step, min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(summed, "context long, total double").toPandas()
-    return rows.sort_values("context")["total"].to_numpy()
+def _parts(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    columns = zip(*rows) if rows else ([] for _ in kinds)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "first", "shard", "weight", "total"])
 
 
-def score(documents: DataFrame, folds: int = 7, held_out_fold: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+def _added(table: pa.Table) -> pa.Table:
+    """The sums of a few shards' weights and weighted changes, in the order of shards."""
+    weight, total = 0.0, 0.0
+    for i in range(table.num_rows):
+        weight = weight + np.frombuffer(table["weight"][i].as_py(), np.float64)
+        total = total + np.frombuffer(table["total"][i].as_py(), np.float32).astype(np.float64)
+    first = {c: table[c][0].as_py() for c in ("part", "first", "shard")}
+    return _parts([(first["part"], first["first"], first["shard"], weight.tobytes(), total.astype(np.float32).tobytes())])
 
-    Learns from rows whose crc32(id as text) modulo ``folds`` is not
-    ``held_out_fold``; rows with a null id are learned from.  A null text is empty
-    and has the end token alone.  Every row is scored, repeated ones too (each
-    counts as a text of its own); extra columns are ignored.  Without anything to
-    learn from, every token is the unknown symbol, with probability one.  An empty
-    table gives an empty one.
-    """
-    spark = documents.sparkSession
-    key = F.col(f"`{id_column}`")
-    held = F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == held_out_fold, F.lit(False))
+
+@dataclass(frozen=True)
+class Fitted:
+    """What is learned: counts of all words (a table), tokens ``n`` and distinct words ``v``, places, the model and the mass of classes."""
+
+    counts: DataFrame
+    n: int
+    v: int
+    tokens: Tokens
+    model: Model
+    log_mass: np.ndarray
+
+
+def fit(training: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Fitted:
+    """Learns from all rows of ``training``; a null text is empty."""
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
-    training = documents.where(~held).select(text.alias("text"))
-    counts = settle(word_counts(training))
-    release(spark)
+    texts = training.select(text.alias("text"), F.xxhash64(F.lit("shard"), F.col(f"`{id_column}`"), text).alias("hashed"))
+    counts = settle(word_counts(texts.select("text")))
+    release(training.sparkSession)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"], totals["v"]
-    symbols = LEAST_SYMBOLS + int(SYMBOLS_A_ROOT * math.sqrt(n))
+    symbols = LEAST_SYMBOLS + int(SYMBOLS_A_ROOT * n ** (1 / 3))
     classes = symbols // 4 if v > symbols else 1
     most = symbols - classes
-    frequent = frequent_words(counts, max(FREQUENT_WORDS, most))
-    if n and int(END) not in frequent:
-        frequent[int(END)] = counts.where(F.col("word") == int(END)).first()["n"]
-    ordered = sorted(frequent, key=lambda w: (-frequent[w], w))
-    own_words = [w for w in ordered if w != END][: most - 1] + ([int(END)] if n else [])
-    tokens = Tokens(frequent, own_words, classes)
+    keys, often = frequent_words(counts, max(FREQUENT_WORDS, most))
+    # The most frequent words first, ties by key; the end token has its own vector whatever its count.
+    order = np.lexsort((keys, -often, keys != END))[:most]
+    own = order[np.lexsort((keys[order], -often[order]))]
+    tokens = Tokens(keys, often, own, classes)
     # Tokens and smoothed counts of each class: what all words hash to, less those with a vector of their own.
     of_class, mass = np.zeros(classes, np.int64), np.ones(classes)
     sums = counts.groupBy(F.pmod("word", F.lit(classes)).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
-    for r in sums.collect():
-        of_class[r["class"]], mass[r["class"]] = r["n"], r["n"] + r["v"] + 1
-    own_counts = np.array([frequent[w] for w in own_words], np.int64)
-    np.subtract.at(of_class, np.array(own_words, np.int64) % classes, own_counts)
-    np.subtract.at(mass, np.array(own_words, np.int64) % classes, own_counts + 1)
-    seen = np.concatenate([own_counts, of_class]) + 0.5
+    found = sums.toArrow()
+    at = found["class"].to_numpy()
+    of_class[at] = found["n"].to_numpy()
+    mass[at] += found["n"].to_numpy() + found["v"].to_numpy()
+    np.subtract.at(of_class, keys[own] % classes, often[own])
+    np.subtract.at(mass, keys[own] % classes, often[own] + 1)
+    seen = np.concatenate([often[own], of_class]) + 0.5
     model = Model(seen / seen.sum())
     if n:
-        train_on_shards(pair_counts(training, tokens), model, n)
-        release(spark)
-    ln10, log_total, log_mass = math.log(10), math.log10(n + v + 1), np.log10(mass)
-    model.query, model.turn, totals = model.query @ model.turn, np.eye(DIMENSIONS, dtype=np.float32), log_totals(spark, model)
-    shared = spark.sparkContext.broadcast((tokens, model.query, model.answer, model.bias, totals, log_mass))
+        train_on_shards(texts, F.col("hashed"), tokens, model, n, TOKENS_A_SYMBOL * symbols)
+        release(training.sparkSession)
+    return Fitted(counts, n, v, tokens, model, np.log10(mass))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, query, answer, bias, totals, log_mass = shared.value
 
-        def logs(context: np.ndarray, place: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(place))
-            for a in range(0, len(place), 1 << 14):
-                c, w = context[a : a + (1 << 14)], place[a : a + (1 << 14)]
-                out[a : a + (1 << 14)] = np.einsum("nd,nd->n", query[c], answer[w]) + bias[w] - totals[c]
-            return np.minimum(out / ln10, 0)
+def score(documents: DataFrame, folds: int = 7, held_out_fold: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+
+    Learns from rows whose crc32(id as text) modulo ``folds`` is not
+    ``held_out_fold``; rows with a null id are learned from.  A null text is empty
+    and has the end token alone.  A very long text is scored whole, in one worker.
+    Every row is scored, repeated ones too (each counts as a text of its own); extra
+    columns are ignored.  Without anything to learn from, every token is the unknown
+    symbol, with probability one.  An empty table gives an empty one.
+    """
+    held = _held_out(documents, folds, held_out_fold, id_column)
+    return score_with(fit(documents.where(~held), id_column, text_column), documents, held, id_column, text_column)
 
+
+def score_with(fitted: Fitted, documents: DataFrame, held: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The columns of ``score`` for ``documents``, of which ``held`` says which are held out."""
+    spark, n, v = documents.sparkSession, fitted.n, fitted.v
+    ln10, log_total = math.log(10), math.log10(n + v + 1)
+    shared = spark.sparkContext.broadcast((fitted.tokens, Scorer(fitted.model), fitted.log_mass))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, scorer, log_mass = shared.value
+        back_by = np.arange(1, CONTEXT + 1)
         end_place, end_count = (x[0] for x in own.find(np.array([END])))
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
@@ -390,7 +457,7 @@ def score(documents: DataFrame, folds: int = 7, held_out_fold: int = 2, id_colum
                 rows = last - first
                 keys = words.hash.view(np.int64)
                 places, found = own.find(keys)
-                before, at_end = own.contexts(words, places)
+                flat, at, ends = own.row(words, places, end_place)
                 add = lambda w: np.bincount(words.document, w, rows)  # noqa: E731,B023
                 rare = found < 0
                 log_count = np.where(rare, 0, np.log10(np.maximum(found, 0) + 1))
@@ -398,9 +465,10 @@ def score(documents: DataFrame, folds: int = 7, held_out_fold: int = 2, id_colum
                 columns[1].append(add(~rare).astype(np.int64) + (end_count > 0))
                 columns[2].append(add(log_count) + (math.log10(end_count + 1) if end_count > 0 else 0))
                 of_rest = places >= own.rest
-                columns[3].append(add(logs(before, places) + np.where(of_rest, log_count - log_mass[np.maximum(places - own.rest, 0)], 0)))
-                ends = logs(at_end, np.full(rows, end_place))
-                columns[3][-1] = columns[3][-1] + ends - (0 if end_place < own.rest else log_mass[end_place - own.rest])
+                within = np.where(of_rest, log_count - log_mass[np.maximum(places - own.rest, 0)], 0)
+                of_words = add(scorer.logs(flat[at[:, None] - back_by], places) / ln10 + within)
+                of_ends = scorer.logs(flat[ends[:, None] - back_by], np.full(rows, end_place)) / ln10
+                columns[3].append(of_words + of_ends - (0 if end_place < own.rest else log_mass[end_place - own.rest]))
                 bounds = np.searchsorted(words.document[rare], np.arange(rows + 1))
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     unique, often = np.unique(keys[rare][a:b] if b > a else keys[:0], return_counts=True)
@@ -414,8 +482,10 @@ def score(documents: DataFrame, folds: int = 7, held_out_fold: int = 2, id_colum
                 ],
                 ["doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare", "often"],
             )
+        give_back()
 
-    given = documents.select(key.cast("long").alias("doc_id"), held.alias("held_out"), text.alias("text"))
+    key, text = F.col(f"`{id_column}`").cast("long"), F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    given = documents.select(key.alias("doc_id"), held.alias("held_out"), text.alias("text"))
     schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, rare binary, often binary"
     rows = settle(given.mapInArrow(scored, schema).withColumn("place", F.monotonically_increasing_id()))
     release(spark)
@@ -430,7 +500,7 @@ def score(documents: DataFrame, folds: int = 7, held_out_fold: int = 2, id_colum
                 yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.concatenate(words)), pa.array(np.concatenate(often))], ["place", "rare_word", "often"])
 
     entries = rows.select("place", "rare", "often").mapInArrow(exploded, "place long, rare_word long, often int")
-    met = entries.join(counts, F.col("rare_word") == F.col("word"))
+    met = entries.join(fitted.counts, F.col("rare_word") == F.col("word"))
     sums = met.groupBy("place").agg(F.sum("often").alias("more_known"), F.sum(F.col("often") * F.log10(F.col("n") + 1)).alias("more_logs"))
     sums = settle(sums.withColumnRenamed("place", "of"))
     release(spark)

@@ -426,10 +426,10 @@ def test_language_model(spark, documents, texts):
     assert gain > 0.02
 
 
-@pytest.mark.parametrize("tokens_a_shard, least", [(1 << 25, 1 << 14), (1 << 14, 1 << 14), (1 << 25, 700)])
-def test_language_model_gives_vectors_beyond_the_most_frequent_words(spark, monkeypatch, tokens_a_shard, least):
-    monkeypatch.setattr(language_model, "SHARD_TOKENS", tokens_a_shard, raising=False)
-    monkeypatch.setattr(language_model, "LEAST_SYMBOLS", least, raising=False)
+@pytest.mark.parametrize("tokens_a_symbol, least", [(128, 1 << 14), (1, 1 << 14), (1000, 700)])
+def test_language_model_gives_vectors_beyond_the_most_frequent_words(spark, monkeypatch, tokens_a_symbol, least):
+    monkeypatch.setattr(language_model, "TOKENS_A_SYMBOL", tokens_a_symbol)
+    monkeypatch.setattr(language_model, "LEAST_SYMBOLS", least)
     random = np.random.default_rng(5)
     # 2000 words as frequent as each other; every second one is fixed by the one before.
     rows = [(i, " ".join(f"a{j} b{j}" for j in random.integers(0, 1000, 60))) for i in range(700)]
@@ -440,34 +440,75 @@ def test_language_model_gives_vectors_beyond_the_most_frequent_words(spark, monk
     assert {r["doc_id"]: r["score"] for r in again} == pytest.approx({r["doc_id"]: r["score"] for r in found}, rel=1e-3)
 
 
-def test_language_model_scores_add_up_over_pairs(spark, monkeypatch):
-    for name, value in (("LEAST_SYMBOLS", 8), ("FREQUENT_WORDS", 4), ("SYMBOLS_A_ROOT", 0)):
+def plain_language_scores(fitted, counts, text):
+    """Score of one text by the model's formula, token by token and with every symbol's product."""
+    tokens, model = fitted.tokens, fitted.model
+    words = len(model.bias)
+
+    def place(word):
+        key = np.int64(language_model.END) if word is None else np.array([plain_word_hash(word)], np.uint64).view(np.int64)[0]
+        own = [i for i, k in enumerate(tokens.keys.tolist()) if k == key and tokens.places[i] < tokens.rest]
+        return int(tokens.places[own[0]]) if own else tokens.rest + int(key) % tokens.classes
+
+    given = [*WORD.findall(lowered(text)), None]
+    places = [words] * language_model.CONTEXT + [place(w) for w in given]
+    total = 0.0
+    for i, word in enumerate(given):
+        at = i + language_model.CONTEXT
+        c = sum(model.query[places[at - k - 1]].astype(float) @ model.turn[k].astype(float) for k in range(language_model.CONTEXT))
+        group = places[at] // model.width
+        logits = model.group @ c + model.group_bias
+        total += logits[group] - np.log(np.exp(logits).sum())
+        members = range(group * model.width, min((group + 1) * model.width, words))
+        logits = model.answer[members] @ c + model.bias[members]
+        total += logits[places[at] - members.start] - np.log(np.exp(logits).sum())
+        if places[at] >= tokens.rest:
+            total += math.log(counts.get(word, 0) + 1) - fitted.log_mass[places[at] - tokens.rest] * math.log(10)
+    return total / math.log(10)
+
+
+def test_language_model_scores_against_plain_recomputation(spark, monkeypatch):
+    for name, value in (("LEAST_SYMBOLS", 24), ("FREQUENT_WORDS", 12), ("SYMBOLS_A_ROOT", 0), ("STEPS", 200)):
         monkeypatch.setattr(language_model, name, value)
-    folds = defaultdict(list)
-    for k in range(2000):
-        folds[zlib.crc32(str(k).encode()) % 7 == 2].append(k)
-    words = [f"w{i}" for i in range(30)]
-    rows = [(k, " ".join(words[(i * j) % 30] for j in range(1, 8))) for i, k in enumerate(folds[False][:40])]
-    probes = [*words, *(f"{w} {w}" for w in words), *(f"{w} {w} {w}" for w in words)]
-    found = language_model.score(spark.createDataFrame(rows + list(zip(folds[True], probes)), "doc_id long, text string"))
-    scores = {r["doc_id"]: r["score"] for r in found.collect()}
-    of = {t: scores[k] for k, t in zip(folds[True], probes)}
-    assert all(math.isfinite(v) and v <= 0 for v in of.values())
-    # "w w" less "w" is log P(w | w), frequent or in a class; one more w adds the same again.
-    assert all(of[f"{w} {w} {w}"] - of[f"{w} {w}"] == pytest.approx(of[f"{w} {w}"] - of[w], abs=1e-6) for w in words)
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(30)] + ["Ünï", "x" * 70]
+    rows = [(k, " ".join(words[(k * j) % 32] for j in range(1, 12))) for k in range(40)] + [(50, None), (51, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = language_model.fit(df)
+    counts = Counter(w for _, t in rows for w in [*WORD.findall(lowered(t)), None])
+    probes = rows + [(60, "never seen words"), (61, "w1 w1 w1 W1 " + "x" * 70), (62, None)]
+    found = language_model.score_with(fitted, spark.createDataFrame(probes, "doc_id long, text string").repartition(3), F.lit(False)).collect()
+    text = dict(probes)
+    assert len(found) == len(probes)
+    for r in found:
+        assert r["score"] == pytest.approx(plain_language_scores(fitted, counts, text[r["doc_id"]]), abs=1e-4)
 
 
 def test_language_model_is_normalised():
     random = np.random.default_rng(1)
-    table = language_model.train(random.integers(0, 50, (7, 6)).astype(float))
-    assert np.allclose((10**table).sum(1), 1)
-
-
-def test_language_model_learns_pairs():
-    pairs = np.full((9, 8), 1.0)
-    pairs[np.arange(8), (np.arange(8) + 1) % 8] = 500
-    table = 10 ** language_model.train(pairs)
-    assert (table[np.arange(8), (np.arange(8) + 1) % 8] > 0.5).all()
+    unigram = random.random(37)
+    model = language_model.Model(unigram / unigram.sum())
+    model.query = random.normal(0, 2, model.query.shape).astype(np.float32)
+    context = np.repeat(random.integers(0, 38, (5, language_model.CONTEXT)), 37, axis=0)
+    logs = language_model.Scorer(model).logs(context, np.tile(np.arange(37), 5))
+    assert np.allclose(np.exp(logs).reshape(5, 37).sum(1), 1, atol=1e-4)
+
+
+def test_language_model_learns_from_every_place_of_its_context():
+    random = np.random.default_rng(4)
+    # The next word is fixed by the word two before it.
+    documents = []
+    for _ in range(300):
+        d = random.integers(0, 20, 2).tolist()
+        while len(d) < 30:
+            d.append((d[-2] * 7 + 3) % 20)
+        documents.append(np.array(d, np.int32))
+    model = language_model.Model(np.full(20, 0.05))
+    model.fit(documents, np.ones(300), 2000, 1)
+    d = np.concatenate(documents[:50]).reshape(50, 30)
+    logs = language_model.Scorer(model).logs(np.stack([d[:, 9], d[:, 8], d[:, 7]], 1), d[:, 10])
+    assert np.exp(logs).mean() > 0.8
 
 
 def test_language_model_odd(odd):
