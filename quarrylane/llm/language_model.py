@@ -53,8 +53,10 @@ NOISE_GROUPS, NOISE_MEMBERS = 32, 8
 STEPS, DRAWS_A_TOKEN = 2500, 0.1
 #: Training tokens of a shard for each symbol of the model.
 TOKENS_A_SYMBOL = 128
-#: Vectors of one block of averages, shards averaged at once, and tokens scored at once.
-BLOCK_ROWS, AVERAGED_AT_ONCE, SCORED_AT_ONCE = 4096, 64, 1 << 14
+#: Vectors of one block of averages, and shards averaged at once.
+BLOCK_ROWS, AVERAGED_AT_ONCE = 4096, 64
+#: Tokens scored at once, and rows of one product.
+SCORED_AT_ONCE, MULTIPLIED_AT_ONCE = 1 << 17, 1024
 #: The key of the end token.
 END = np.int64(-0x5851F42D4C957F2D)
 SLICE_BYTES = 1 << 20
@@ -243,39 +245,47 @@ class Model:
 
 
 class Scorer:
-    """A model ready to give log-probabilities: its context vectors are turned once."""
+    """A model ready to give log-probabilities: its context vectors are turned once, and biases are a component of vectors."""
 
     def __init__(self, model: Model):
-        self.turned = np.stack([model.query @ t for t in model.turn])
-        self.answer, self.bias, self.group, self.group_bias, self.width = model.answer, model.bias, model.group, model.group_bias, model.width
+        wide = lambda v, b: np.ascontiguousarray(np.column_stack([v, b]).T.astype(np.float32))
+        self.turned = np.stack([model.query @ t for t in model.turn]).astype(np.float32)
+        self.answer, self.group, self.width = wide(model.answer, model.bias), wide(model.group, model.group_bias), model.width
 
     def logs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of places after their contexts (nearest first), normalised over all places."""
         out = np.zeros(len(word))
         for a in range(0, len(word), SCORED_AT_ONCE):
             before, w = context[a : a + SCORED_AT_ONCE], word[a : a + SCORED_AT_ONCE]
-            c = self.turned[0][before[:, 0]]
+            order = np.argsort(w // self.width, kind="stable")
+            before, w = before[order], w[order]
+            c = np.ones((len(w), DIMENSIONS + 1), np.float32)
+            c[:, :-1] = self.turned[0][before[:, 0]]
             for k in range(1, CONTEXT):
-                c = c + self.turned[k][before[:, k]]
+                c[:, :-1] += self.turned[k][before[:, k]]
             group = w // self.width
-            order = np.argsort(group, kind="stable")
-            c, w, group = c[order], w[order], group[order]
-            found = self._level(c, self.group, self.group_bias, group)
+            found = self._level(c, self.group, group)
             starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             for i, j in zip(starts, np.append(starts[1:], len(w))):
-                members = slice(group[i] * self.width, (group[i] + 1) * self.width)
-                found[i:j] += self._level(c[i:j], self.answer[members], self.bias[members], w[i:j] - members.start)
+                members = slice(int(group[i]) * self.width, (int(group[i]) + 1) * self.width)
+                found[i:j] += self._level(c[i:j], self.answer[:, members], w[i:j] - members.start)
             out[a + order] = found
         return np.minimum(out, 0)
 
     @staticmethod
-    def _level(c: np.ndarray, vectors: np.ndarray, biases: np.ndarray, picked: np.ndarray) -> np.ndarray:
-        logits = c @ vectors.T
-        logits += biases
-        logits -= logits.max(1, keepdims=True)
-        mine = logits[np.arange(len(picked)), picked].astype(np.float64)
-        np.exp(logits, out=logits)
-        return mine - np.log(logits.sum(1, dtype=np.float64))
+    def _level(c: np.ndarray, vectors: np.ndarray, picked: np.ndarray) -> np.ndarray:
+        """Logarithms of a softmax over the columns of ``vectors``, by blocks that stay in the processor's cache."""
+        out = np.empty(len(c))
+        # Where no product can reach the largest exponent, none has to be taken off.
+        reach = math.sqrt(float((c**2).sum(1).max()) * float((vectors**2).sum(0).max()))
+        for a in range(0, len(c), MULTIPLIED_AT_ONCE):
+            logits = c[a : a + MULTIPLIED_AT_ONCE] @ vectors
+            if reach > 60:
+                logits -= logits.max(1, keepdims=True)
+            mine = logits[np.arange(len(logits)), picked[a : a + MULTIPLIED_AT_ONCE]]
+            np.exp(logits, out=logits)
+            out[a : a + MULTIPLIED_AT_ONCE] = mine - np.log(logits.sum(1))
+        return out
 
 
 def _held_out(documents: DataFrame, folds: int, held_out_fold: int, id_column: str) -> Column:
