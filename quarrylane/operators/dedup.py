@@ -15,9 +15,10 @@ def first_wins(rows: DataFrame, keys: list[Column], order: list[Column]) -> Data
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key, and every row without a key."""
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))))
-    return numbered.where(F.col(key).isNull() | (F.col("_n") == 1)).drop("_n")
+    """The last row of each key, and every row without a key; those without one are not ranked."""
+    keyed = rows.where(F.col(key).isNotNull())
+    last = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    return last.unionByName(rows.where(F.col(key).isNull()))
 
 
 def greedy_sequential(rows: DataFrame, order: str, first: str, second: str) -> DataFrame:

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylane.operators.lineage import settled
+
 #: Rows beyond which a diagnostic execution is an error.
 MAX_ROWS = 10_000
 
@@ -52,10 +54,10 @@ def execute(spark: SparkSession, text: str | None, seconds: float | None = None,
         rows = spark.sql(to_spark_sql(text))
         # Columns may repeat or clash in a result; bags only know their order.
         rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
-        if most is not None and len(rows.limit(most + 1).collect()) > most:
+        if most is not None and rows.limit(most + 1).count() > most:
             return Execution(False, None, f"more than {most} rows")
-        rows.foreach(_nothing)
-        return Execution(True, rows, None)
+        # Errors of evaluation come up here; what was computed is kept, so that a comparison runs nothing again.
+        return Execution(True, settled(rows), None)
     except Exception as error:  # a statement's failure is a result here, whatever its kind
         return Execution(False, None, f"timeout (limit_seconds={seconds})" if late.is_set() else str(error).splitlines()[0])
     finally:
@@ -64,10 +66,6 @@ def execute(spark: SparkSession, text: str | None, seconds: float | None = None,
         spark.sparkContext.removeJobTag(tag)
 
 
-def _nothing(row) -> None:
-    """Reads a row; errors of evaluation come up here."""
-
-
 def match_strict(gold: DataFrame, pred: DataFrame) -> bool:
     """Equal bags with equal types: order does not count, repeats and nulls do."""
     kinds = [[t for _, t in d.dtypes] for d in (gold, pred)]

@@ -11,6 +11,8 @@ LOCAL_DIR = "/tmp/checkpoints"
 def settled(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and cuts its lineage; executors may be lost afterwards."""
     context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or LOCAL_DIR)
+    inner = context._jsc.sc()
+    inner.conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    if not inner.getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR)
     return df.checkpoint(eager=True)
