@@ -315,7 +315,18 @@ def win8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.priority_fill(d, (F.col("lang") == "es"), F.col("n_chars") > 3000, "doc_id", 3 * d.count() // 5, 0.4, "11").select("doc_id", "selection_bucket")
 
 
-register("win8_priority_fill", win8)
+register(
+    "win8_priority_fill", win8,
+    """WITH d AS (SELECT doc_id, CASE WHEN lang = 'es' THEN 'rare' WHEN n_chars > 3000 THEN 'aggregation' ELSE 'simple' END AS kind, n_chars > 3000 AS agg FROM documents),
+    c AS (SELECT 3 * count(*) // 5 AS target, count(*) FILTER (WHERE kind = 'rare') AS r, count(*) FILTER (WHERE kind = 'aggregation') AS a, count(*) FILTER (WHERE kind = 'simple') AS s,
+      count(*) FILTER (WHERE kind = 'rare' AND agg) AS ra FROM d),
+    f AS (SELECT *, least(greatest(0, CAST(round_even(target * 0.4, 0) AS BIGINT) - ra), a, target - r) AS first FROM c),
+    g AS (SELECT *, least(target - r - first, s) AS simple_n FROM f),
+    k AS (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind ORDER BY sha256('11|' || doc_id), doc_id) AS n FROM d),
+    b AS (SELECT doc_id, CASE WHEN kind = 'rare' THEN 'rare_complexity' WHEN kind = 'aggregation' AND n <= first THEN 'aggregation_fill'
+      WHEN kind = 'aggregation' AND n <= first + (target - r - first - simple_n) THEN 'extra_aggregation_fill' WHEN kind = 'simple' AND n <= simple_n THEN 'simple_fill' END AS selection_bucket FROM k, g)
+    SELECT * FROM b WHERE selection_bucket IS NOT NULL""",
+)
 register(
     "win9_buckets_without_replacement",
     lambda spark, sf_dir: sampling.buckets_without_replacement(

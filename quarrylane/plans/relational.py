@@ -325,7 +325,13 @@ def set11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced
 
 
-register("set11_component_conflicts", set11)
+register(
+    "set11_component_conflicts", set11,
+    f"""WITH RECURSIVE r AS (SELECT doc_id AS id, md5({sql_collapse('lower(text)')}) AS q, lang || '|' || source || '|' || CAST(floor(n_chars / 10) AS BIGINT) AS s FROM documents),
+    e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM r a JOIN r b ON a.q = b.q UNION SELECT DISTINCT a.id, b.id FROM r a JOIN r b ON a.s = b.s),
+    w(id, reach) AS (SELECT id, id FROM r UNION SELECT w.id, e.b FROM w JOIN e ON w.reach = e.a), c AS (SELECT id, min(reach) AS component FROM w GROUP BY id)
+    SELECT component, bool_or(l.doc_id IS NOT NULL) AS forced_to_train, count(*) AS size FROM c LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0) l ON c.id = l.doc_id GROUP BY component""",
+)
 register(
     "snk8_verify_recomputed",
     lambda spark, sf_dir: table(spark, sf_dir, "region").exceptAll(table(spark, sf_dir, "region").select("*")).agg((F.count("*") == 0).alias("identical")),

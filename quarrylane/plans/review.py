@@ -222,17 +222,27 @@ register("win14_component_split", win14)
 
 def fea4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexer features of the gold statements."""
-    names = {"join_count": "long", "join_bin": "string", "subquery": "boolean", "set_operation": "boolean", "where": "boolean", "where_condition_count": "long",
-             "literal_count": "long", "sql_token_length": "long", "selected_column_count": "long", "rare_complexity": "boolean", "complexity_class": "string"}
+    names = {"join_count": "long", "join_bin": "string", "subquery": "boolean", "where_condition_count": "long", "literal_count": "long", "sql_token_length": "long",
+             "selected_column_count": "long", "rare_complexity": "boolean", "complexity_class": "string"} | dict.fromkeys(FEA4_FLAGS, "boolean")
 
     def batch(sql: pd.Series, question: pd.Series) -> pd.DataFrame:
-        rows = [textscan.lexical_features(s, q, 0, 0) for s, q in zip(sql, question)]
-        return pd.DataFrame([{n: r[n] for n in names} for r in rows], columns=list(names))
+        # A null is empty; a statement with an open quote has no features.
+        rows = [textscan.lexical_features(s or "", q or "", 0, 0) or {} for s, q in zip(sql, question)]
+        return pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=list(names))
 
     found = F.pandas_udf(batch, ", ".join(f"`{n}` {t}" for n, t in names.items()))("gold_sql", "question")
     return cases(spark).select("id", found.alias("f")).select("id", "f.*")
 
 
+#: Features that are flags, as conditions on an array ``t`` of lower-case tokens.
+FEA4_FLAGS = {
+    **{n: f"list_contains(t, '{n}')" for n in ("having", "limit", "distinct", "union", "intersect", "except", "like", "between", "where")},
+    "in_operator": "list_contains(t, 'in')", "exists_operator": "list_contains(t, 'exists')", "group_by": "list_has_all(t, ['group', 'by'])", "order_by": "list_has_all(t, ['order', 'by'])",
+    "null_check": "list_has_all(t, ['null', 'is'])", "comparison": "list_has_any(t, ['=', '==', '!=', '<>', '<', '>', '<=', '>='])", "set_operation": "list_has_any(t, ['union', 'intersect', 'except'])",
+    "and_operator": "list_contains(w, 'and')", "or_operator": "list_contains(w, 'or')",
+}
+
+
 def _lexer_sql() -> str:
     pattern = textscan._TOKEN.pattern.replace("'", "''")
     n = lambda *words: f"len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in words)})))"
@@ -242,7 +252,7 @@ def _lexer_sql() -> str:
     listed = "t[list_position(t, 'select') + 1 : list_position(t, 'from') - 1]"
     return f"""WITH {CTE}, x AS (SELECT id, list_transform(regexp_extract_all(gold_sql, '{pattern}'), lambda x: lower(x)) AS t FROM cases),
     y AS (SELECT *, CASE WHEN list_contains(t, 'where') THEN t[list_position(t, 'where') + 1 :] ELSE [] END AS w FROM x)
-    SELECT id, {joins} AS join_count, CASE WHEN {joins} > 1 THEN '2+' ELSE CAST({joins} AS VARCHAR) END AS join_bin, {nested} AS subquery, {sets} AS set_operation, list_contains(t, 'where') AS "where",
+    SELECT id, {joins} AS join_count, CASE WHEN {joins} > 1 THEN '2+' ELSE CAST({joins} AS VARCHAR) END AS join_bin, {nested} AS subquery, {', '.join(f'{c} AS "{n}"' for n, c in FEA4_FLAGS.items())},
     CASE WHEN len(w) > 0 THEN 1 + len(list_filter(w, lambda x: x IN ('and', 'or'))) ELSE 0 END AS where_condition_count, len(list_filter(t, lambda x: regexp_matches(x, '^[''"0-9]'))) AS literal_count,
     len(t) AS sql_token_length, CASE WHEN list_contains(t, 'select') AND list_contains(t, 'from') AND len({listed}) > 0 THEN 1 + len(list_filter({listed}, lambda x: x = ',')) ELSE 0 END AS selected_column_count,
     {rare} AS rare_complexity, CASE WHEN {joins} >= 2 OR {nested} OR {sets} OR {n('having')} > 0 THEN 'complex' WHEN {rare} OR {calls} THEN 'moderate' ELSE 'simple' END AS complexity_class FROM y"""

@@ -377,3 +377,47 @@ def test_bootstrap_interval_of_ten_thousand(spark):
         means = d[np.random.default_rng(1).integers(0, len(d), (10_000, len(d)))].mean(1)
         step = 2 / len(d)
         assert (found[lang]["ci_low"], found[lang]["ci_high"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=step)
+
+
+def test_split_validation(spark):
+    from quarrylane.operators import validation
+
+    good = spark.createDataFrame([("dev-1", "q", "dev"), ("dev-2", "r", "dev")], "id string, question string, split string")
+    validation.validate_split(good, ["id", "question"], "id", 2, F.col("split") == "dev", "dev-")
+    bad = good.unionByName(spark.createDataFrame([("dev-2", " ", "dev"), (None, None, None)], good.schema))
+    with pytest.raises(ValueError, match="expected 2 rows, found 4; blank_id: 1; blank_question: 2; other_split: 1; other_prefix: 1; repeated_ids: 1"):
+        validation.validate_split(bad, ["id", "question"], "id", 2, F.col("split") == "dev", "dev-")
+    assert validation.check_index(good, good) == 2
+    with pytest.raises(ValueError, match="2 rows and its metadata 4"):
+        validation.check_index(good, bad)
+
+
+def test_settings():
+    from quarrylane.operators import validation
+
+    plain = {"testcases_path": "a", "traincases_path": "b"}
+    validation.validate_settings(validation.RunSettings(**plain))
+    with pytest.raises(ValueError, match="gate is for dynamic_fewshot only"):
+        validation.validate_settings(validation.RunSettings(**plain, fewshot_gate_enabled=True, fewshot_gate_threshold=0.7))
+
+
+def test_executed_statements_are_kept(spark):
+    from quarrylane.operators import execution
+
+    spark.range(3).createOrReplaceTempView("three")
+    found = execution.rescore(spark, [("a", "SELECT id FROM three", "SELECT id FROM three ORDER BY id DESC"), ("b", "SELECT id FROM three", "SELECT raise_error('x') FROM three")])
+    assert [(r["gold_ok"], r["pred_ok"], r["strict"]) for r in found] == [(True, True, True), (True, False, False)]
+    assert execution.execute(spark, "SELECT id FROM three", most=2).error == "more than 2 rows"
+
+
+def test_last_wins_does_not_rank_rows_without_a_key(spark):
+    from quarrylane.operators import dedup
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 1), (None, 1), ("b", 1)], "k string, n long")
+    assert sorted(dedup.last_wins(rows, "k", "n").collect(), key=str) == sorted([("a", 2), (None, 1), (None, 1), ("b", 1)], key=str)
+
+
+def test_lexical_features_of_odd_statements(spark):
+    from quarrylane.functions import textscan as t
+
+    assert t.lexical_features("", "", 0, 0)["complexity_class"] == "simple" and t.lexical_features("SELECT \"a", "", 0, 0) is None
