@@ -5,9 +5,11 @@ flows from patterns to source quotas; the r-th repetition of a pattern costs r a
 token, so costs are convex and repetitions are used last.  The flow says how many
 words each pattern gives; seeded documents are then taken in hash order.
 
-The flow network has a row a pattern and a source and is solved on the driver (its
-size is checked).  Prefix sums over documents go through two levels of hash
-buckets, so no source is ever ordered in one task.
+The flow network has a row a pattern and a source and is solved on the driver while
+its size allows.  Of more patterns than that, none with two sources, the flow needs no
+paths: quotas and words are then columns of a table that stays distributed, with the
+same results.  Prefix sums over documents go through two levels of hash buckets, so no
+source is ever ordered in one task.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from quarrylane.llm.shared import WORD_PATTERN, settle
 
 MAX_REPEATS = 3
 SEED = 9
-#: Membership patterns that the driver takes; more is an error, never a cut.
+#: Membership patterns that the driver takes; more are planned in a table, which overlapping sources cannot be.
 MAX_PATTERNS = 20_000
+#: Sources that one task numbers when weights go by their order.
+RANGE_SOURCES = 50_000
 BUCKETS = 4096
 
 
@@ -113,6 +117,17 @@ class MixPlan:
     patterns: list[tuple[tuple[str | None, ...], int, int]]
 
 
+@dataclass(frozen=True)
+class WidePlan:
+    """The plan of more sources than the driver takes: a row (of, size, target, words, hot) a source.
+
+    ``of`` is the source as an array, ``words`` what the mix takes from it; ``hot``
+    marks sources with so large a part of the rows that at most ``MAX_PATTERNS`` are.
+    """
+
+    table: DataFrame
+
+
 def plan_mix(patterns: list[tuple[tuple[str | None, ...], int]], weights: dict[str | None, float] | None, budget: float | None, repeats: int) -> MixPlan:
     """The plan for (sources, words) patterns; a source's size is the words of all patterns that it is in."""
     names: list[str | None] = sorted({s for m, _ in patterns for s in m if s is not None})
@@ -125,6 +140,77 @@ def plan_mix(patterns: list[tuple[tuple[str | None, ...], int]], weights: dict[s
     return MixPlan(sizes, targets, [(m, n, sum(f)) for (m, n), f in zip(patterns, flow)])
 
 
+def _in_order(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``weight`` 1, 2, 3, repeating by code point, null last; ranges are numbered apart and then shifted."""
+    n = sources.count() // RANGE_SOURCES + 2
+    ranges = sources.repartitionByRange(n, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranges = settle(ranges)
+    shift, shifts = 0, []
+    for r in sorted(ranges.groupBy("range").agg(F.count("*").alias("n")).collect()):
+        shifts.append((r["range"], shift))
+        shift += r["n"]
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    shifted = F.broadcast(sources.sparkSession.createDataFrame(shifts, "range int, shift long"))
+    return ranges.withColumn("place", place).join(shifted, "range").withColumn("weight", ((F.col("place") + F.col("shift")) % 3 + 1).cast("double"))
+
+
+def _wide_plan(totals: DataFrame, weights: dict[str | None, float] | None, budget: float | None, repeats: int) -> WidePlan:
+    """The plan for (pattern, n, n_rows) totals, all of one source; the same as the driver's.
+
+    A round of sharing looks at the sources once: those over their limit keep it, the
+    rest share what is left.  Sources over their limit stay so, as shares only grow.
+    """
+    spark = totals.sparkSession
+    sources = totals.withColumn("source", F.col("pattern")[0])
+    if weights is None:
+        sources = _in_order(sources)
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "_of string, weight double")
+        sources = sources.join(given, F.col("source").eqNullSafe(F.col("_of")), "left")
+    sources = settle(sources.select("pattern", "source", "n", "n_rows", "weight"))
+    if not sources.where("weight IS NULL").isEmpty():
+        raise ValueError("a source has no weight")
+    all_rows, all_words = sources.agg(F.sum("n_rows"), F.sum("n")).first()
+    most = (F.col("n") * repeats).cast("double")
+    full, seen = F.lit(False), -1
+    while True:
+        open_weight = F.sum(F.when(~full, F.col("weight")).otherwise(0.0))
+        n_full, kept, weight = sources.agg(F.count_if(full), F.sum(F.when(full, most).otherwise(0.0)), open_weight).first()
+        if n_full == seen:
+            break
+        seen, left = n_full, float(all_words if budget is None else budget) - kept
+        share = F.lit(left) * F.col("weight") / F.lit(weight) if weight else F.lit(0.0)
+        over, full = full, full | (share > most)
+    target = F.when(over, most).otherwise(share)
+    taken = F.least(F.bround(target).cast("long"), F.col("n") * repeats)
+    hot = F.col("n_rows") * MAX_PATTERNS >= F.lit(all_rows)
+    return WidePlan(settle(sources.select(F.col("pattern").alias("of"), F.col("n").alias("size"), target.alias("target"), taken.alias("words"), hot.alias("hot"))))
+
+
+def with_source(rows: DataFrame, plan: MixPlan | WidePlan, source: str) -> DataFrame:
+    """``rows`` with ``source_size`` and ``target`` of their one source."""
+    if isinstance(plan, WidePlan):
+        named = plan.table.select(F.col("of").alias("_of"), F.col("hot").alias("_hot"), F.col("size").alias("source_size"), "target")
+    else:
+        table = [([s], plan.sizes[s], plan.targets[s]) for s in plan.sizes]
+        named = rows.sparkSession.createDataFrame(table, "_of array<string>, source_size long, target double")
+    return _looked_up(rows.drop("source_size", "target"), F.array(F.col(f"`{source}`")), named, isinstance(plan, WidePlan)).drop("_of", "_hot")
+
+
+def _looked_up(rows: DataFrame, key: Column, table: DataFrame, wide: bool) -> DataFrame:
+    """``rows`` with the row of ``table`` whose ``_of`` is their key.
+
+    A table of the driver's size is broadcast.  Of a wide one only the hot keys are;
+    no other key has enough rows to be too much for the task it is shuffled to.
+    """
+    same = key.eqNullSafe(F.col("_of"))
+    if not wide:
+        return rows.join(F.broadcast(table), same)
+    hot = F.broadcast(table.where("_hot"))
+    cold = rows.join(hot, same, "left_anti").join(table.where("NOT _hot"), same)
+    return rows.join(hot, same).unionByName(cold)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; a null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -139,7 +225,7 @@ def mix(
     seed: int = SEED,
     id_column: str = "doc_id",
     text_column: str = "text",
-) -> tuple[DataFrame, MixPlan]:
+) -> tuple[DataFrame, MixPlan | WidePlan]:
     """``documents`` with ``size``, ``repeats`` and ``taken`` (words) added, and the plan.
 
     ``sources`` is an array of the sources of a row; null members count as one
@@ -148,6 +234,8 @@ def mix(
     threshold on a seeded hash of id and size, so reruns agree, and repeated rows
     are decided alike.  Documents without words are repeated as their pattern is.
     Columns named like the added ones are replaced; an empty table gives an empty mix.
+    A very long text is counted whole.  More than ``MAX_PATTERNS`` patterns are an error
+    if a document has two sources.
     """
     spark = documents.sparkSession
     given = documents.drop("size", "repeats", "taken")
@@ -156,53 +244,49 @@ def mix(
     work = given.withColumns({"size": words, "_pattern": F.array_sort(F.array_distinct(own))})
     work = work.withColumn("_order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"), F.col("size")), 1))
     sized = settle(work.select(F.col("_pattern").alias("pattern"), "size", F.col("_order").alias("order")))
-    totals = sized.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    plan = plan_mix(sorted(((tuple(r["pattern"]), r["n"]) for r in totals), key=str), weights, budget, max_repeats)
-    whole = {m: taken // n if n else 1 for m, n, taken in plan.patterns}
-    rest = {m: taken % n for m, n, taken in plan.patterns if n and taken % n}
-    upto = _thresholds(sized, rest)
-    rows = [(list(m), whole[m], upto.get(m, -1)) for m in whole]
-    planned = F.broadcast(spark.createDataFrame(rows, "_plan_pattern array<string>, _whole long, _upto long"))
-    joined = work.join(planned, F.col("_pattern") == F.col("_plan_pattern"))
+    totals = settle(sized.groupBy("pattern").agg(F.sum("size").alias("n"), F.count("*").alias("n_rows")))
+    wide = totals.count() > MAX_PATTERNS
+    if wide:
+        if not totals.where(F.size("pattern") > 1).isEmpty():
+            raise ValueError(f"more than {MAX_PATTERNS} membership patterns of overlapping sources")
+        plan = _wide_plan(totals, weights, budget, max_repeats)
+        taken = plan.table.select("of", F.col("size").alias("n"), "words", "hot")
+    else:
+        plan = plan_mix(sorted(((tuple(r["pattern"]), r["n"]) for r in totals.collect()), key=str), weights, budget, max_repeats)
+        taken = spark.createDataFrame([(list(m), n, words, True) for m, n, words in plan.patterns], "of array<string>, n long, words long, hot boolean")
+    # Patterns without words are taken once.
+    whole = F.when(F.col("n") > 0, F.floor(F.col("words") / F.col("n"))).otherwise(1)
+    planned = taken.select("of", "hot", whole.alias("_whole"), F.when(F.col("n") > 0, F.col("words") - F.col("_whole") * F.col("n")).otherwise(0).alias("words"))
+    upto = _thresholds(sized, planned.where("words > 0").select("of", "words"), wide)
+    planned = planned.join(upto, "of", "left").select(F.col("of").alias("_of"), F.col("hot").alias("_hot"), "_whole", F.coalesce("upto", F.lit(-1)).alias("_upto"))
+    planned = settle(planned)
+    joined = _looked_up(work, F.col("_pattern"), planned, wide)
     mixed = joined.withColumn("repeats", F.col("_whole") + (F.col("_order") <= F.col("_upto")).cast("long"))
     mixed = mixed.withColumn("taken", F.col("size") * F.col("repeats"))
     return mixed.select(*[F.col(f"`{c}`") for c in given.columns], "size", "repeats", "taken"), plan
 
 
-def _thresholds(sized: DataFrame, rest: dict[tuple, int]) -> dict[tuple, int]:
-    """For each pattern the largest order whose rows come nearest to ``rest`` words.
+def _thresholds(sized: DataFrame, wanted: DataFrame, wide: bool) -> DataFrame:
+    """(of, upto): for each pattern the largest order whose rows come nearest to its ``words``.
 
     The 63 bits of the order are narrowed 12 at a time; a step sums sizes by bucket
     within the bucket found before, so at most ``BUCKETS`` rows a pattern are ordered
-    in one place.  Two steps leave one row in sixteen million to the last.
+    in one place.  Two steps leave one row in sixteen million to the last.  The first
+    step's rows are sums already, later ones are spread by bucket, so a hot source is
+    no hot key of a join.
     """
-    if not rest:
-        return {}
-    spark = sized.sparkSession
-    floor = {m: -1 for m in rest}
-    left = dict(rest)
-    inside = sized
-    for shift in (51, 39):
-        bounds = [(list(m), floor[m], left[m]) for m in left]
-        wanted = F.broadcast(spark.createDataFrame(bounds, "of array<string>, at long, words long"))
-        near = inside.drop("of", "at", "words").join(wanted, F.col("pattern") == F.col("of"))
-        if shift != 51:
-            near = near.where(F.shiftrightunsigned("order", shift + 12) == F.col("at"))
-        bucket = F.shiftrightunsigned("order", shift)
-        sums = near.groupBy("pattern", "words", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n")
-        ends = sums.withColumn("before", before).where("before < words AND words <= before + n").collect()
-        for r in ends:
-            m = tuple(r["pattern"])
-            floor[m], left[m] = r["bucket"], r["words"] - r["before"]
-        inside = near
-    bounds = [(list(m), floor[m], left[m]) for m in left]
-    wanted = F.broadcast(spark.createDataFrame(bounds, "of array<string>, at long, words long"))
-    near = sized.join(wanted, F.col("pattern") == F.col("of")).where(F.shiftrightunsigned("order", 39) == F.col("at"))
-    ties = near.groupBy("pattern", "words", "order").agg(F.sum("size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("pattern").orderBy("order")) - F.col("n")
+    table = (lambda found: found) if wide else F.broadcast
+    coarse = sized.groupBy("pattern", F.shiftleft(F.shiftrightunsigned("order", 51), 51).alias("order")).agg(F.sum("size").alias("size"))
+    found = wanted.select("of", "words", F.lit(0).cast("long").alias("at"))
+    for shift, rows in ((51, coarse), (39, sized)):
+        inside = (F.col("pattern") == F.col("of")) & (F.shiftrightunsigned("order", shift + 12) == F.col("at"))
+        sums = rows.join(table(found), inside).groupBy("of", "words", F.shiftrightunsigned("order", shift).alias("bucket")).agg(F.sum("size").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("of").orderBy("bucket")) - F.col("n")
+        ends = sums.withColumn("before", before).where("before < words AND words <= before + n")
+        found = settle(ends.select("of", (F.col("words") - F.col("before")).alias("words"), F.col("bucket").alias("at")))
+    near = sized.join(table(found), (F.col("pattern") == F.col("of")) & (F.shiftrightunsigned("order", 39) == F.col("at")))
+    ties = near.groupBy("of", "words", "order").agg(F.sum("size").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("of").orderBy("order")) - F.col("n")
     fits = ties.withColumn("before", before).where("2 * before + n <= 2 * words")
-    last = {tuple(r["pattern"]): r["last"] for r in fits.groupBy("pattern").agg(F.max("order").alias("last")).collect()}
-    return {m: last.get(m, (floor[m] << 39) - 1) for m in left}
+    last = fits.groupBy("of").agg(F.max("order").alias("last"))
+    return found.join(last, "of", "left").select("of", F.coalesce("last", F.shiftleft("at", 39) - 1).alias("upto"))

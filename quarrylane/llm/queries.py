@@ -151,10 +151,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source weights 1, 2, 3, repeating."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     mixed, plan = mixing.mix(documents, F.array("source"))
-    rows = [(source, plan.sizes[source], plan.targets[source]) for source in plan.sizes]
-    sources = F.broadcast(spark.createDataFrame(rows, "of_source string, source_size long, target double"))
-    joined = mixed.join(sources, F.col("source").eqNullSafe(F.col("of_source")))
-    return joined.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.with_source(mixed, plan, "source").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import pytest
 SF = "/root/testdata/sf0.01"
 CLASHING = (
     "score long, predicted string, held_out long, n_lines string, n_dropped string, kept_text long, node string, n long, hash string, "
-    "key string, position string, size string, rank string, sequence_id string, host string, verdict string, label string, kept string, n_words string"
+    "key string, position string, size string, rank string, sequence_id string, host string, verdict string, label string, kept string, n_words string, "
+    "of long, hot string, words string, pattern string, order string, weight string, target string, source_size long, payload string, component long"
 )
 
 

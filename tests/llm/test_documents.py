@@ -241,7 +241,8 @@ def test_repetition_against_brute_force(documents, texts):
         longest = r["longest_repeat"]
         assert not grams(longest + 1) and (longest == 0 or grams(longest))
         assert r["base_failed"] == (len(words) < 20 or 100 * len(inside) > 30 * len(words))
-        assert not (r["kept"] and r["base_failed"])
+        too_long = longest >= repetition.MIN_REPEAT_WORDS and (longest > repetition.MAX_LONGEST_WORDS or longest > repetition.MAX_LONGEST_FRACTION * len(words))
+        assert r["kept"] == (not r["base_failed"] and r["covered_words"] <= repetition.MAX_COVERED_FRACTION * len(words) and not too_long)
 
 
 @given(st.lists(st.tuples(st.integers(0, 2), st.sampled_from("ab")), max_size=40))
@@ -403,11 +404,45 @@ def test_mixing_overlapping_sources(spark):
     assert plan.targets["b"] == pytest.approx(total * 4 / 6) and sum(taken.values()) == pytest.approx(total, abs=12)
 
 
+@pytest.mark.parametrize("weights", [None, {f"s{i}": i % 5 for i in range(40)} | {None: 2.0}])
+def test_mixing_of_many_sources_in_a_table_equals_the_driver(spark, monkeypatch, weights):
+    from pyspark.sql import functions as F
+
+    random = np.random.default_rng(6)
+    names = [f"s{i}" for i in range(40)] + [None]
+    rows = [(i, "w " * int(random.integers(0, 40)), names[0 if i % 3 == 0 else int(random.integers(0, 41))]) for i in range(1500)]
+    rows += [(2000, "", "only empty" if weights is None else "s3"), (2001, "w " * 3000, "s7"), (2001, "w " * 3000, "s7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+
+    def mixed():
+        found, plan = mixing.mix(df, F.array("source"), weights)
+        return sorted(map(tuple, mixing.with_source(found, plan, "source").select("doc_id", "source", "size", "repeats", "taken", "source_size", "target").collect()), key=str), plan
+
+    plain, plan = mixed()
+    assert isinstance(plan, mixing.MixPlan) and len(plain) == len(rows)
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 6)
+    monkeypatch.setattr(mixing, "RANGE_SOURCES", 7)
+    wide, table = mixed()
+    assert isinstance(table, mixing.WidePlan) and 0 < table.table.where("hot").count() <= 6
+    assert [r[:6] for r in wide] == [r[:6] for r in plain] and [r[6] for r in wide] == pytest.approx([r[6] for r in plain])
+    overlapping = df.withColumn("both", F.when(F.col("doc_id") == 5, F.array(F.lit("s1"), F.lit("s2"))).otherwise(F.array("source")))
+    with pytest.raises(ValueError, match="overlapping"):
+        mixing.mix(overlapping, F.col("both"), weights)
+
+
 def test_mixing_odd(odd):
     from pyspark.sql import functions as F
 
-    mixed, _ = mixing.mix(odd, F.array("source"))
-    assert mixed.count() == len(ODD)
+    mixed, plan = mixing.mix(odd, F.array("source"))
+    found = rows_of(mixed)
+    assert len(found) == len(ODD) and set(mixed.columns) == set(odd.columns) | {"size", "repeats", "taken"}
+    taken, longest = Counter(), Counter()
+    for r in found:
+        assert r["size"] == len(WORD.findall(r["text"] or "")) and r["taken"] == r["size"] * r["repeats"] and 0 <= r["repeats"] <= 3
+        taken[r["source"]] += r["taken"]
+        longest[r["source"]] += r["size"]
+    # Equal rows are decided alike, so a source of few rows may be off by what those of one order say.
+    assert all(abs(taken[s] - plan.targets[s]) <= longest[s] for s in longest)
     empty, plan = mixing.mix(odd.limit(0), F.array("source"))
     assert rows_of(empty) == [] and plan.targets == {}
 

@@ -79,10 +79,23 @@ def test_everything_is_packed(kept):
 
 def test_run_and_odd_rows(spark, odd):
     assert corpus_pipeline.run(spark, SF).count() > 0
+    # Each stage on the odd rows themselves: what it may return of them.
+    given = Counter(tuple(r) for r in odd.select(*corpus_pipeline.COLUMNS).collect())
+    found = {name: stage(spark, odd, SF) for name, stage in corpus_pipeline.STAGES}
+    rows = {name: Counter(tuple(r) for r in df.collect()) for name, df in found.items()}
+    assert not rows["quality classifier"] - given
+    assert rows["line dedup"] == Counter({(i, t or "", lang, s, len(t or "")): n for (i, t, lang, s, _), n in given.items()})
+    near = rows["n-gram Jaccard join"]
+    assert not near - given and sum(given.values()) - sum(near.values()) == 2
+    assert sum(n for r, n in near.items() if r[1] == "a b c d e f g h") == 1 and sum(n for r, n in near.items() if r[0] == 6) == 1
+    mixed = rows["mixing sources to target weights"]
+    assert set(mixed) <= set(given) and all(n <= 3 * given[r] for r, n in mixed.items())
+    pieces = found["packing"].where("start = 0").groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in pieces} == Counter(r[0] for r in given.elements())
     docs = odd
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
-    docs.collect()
+    assert all(r["length"] >= 1 and r["start"] + r["length"] <= r["doc_tokens"] for r in docs.collect())
     empty = odd.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
