@@ -33,8 +33,8 @@ END_ID = 1
 SALT_PIECES, LEAST_SALTS = 1 << 16, 1024
 #: Parts that counts of equal pieces are kept in.
 COPY_PARTS = 1024
-#: Encoded pre-tokens kept by a worker before its cache starts anew.
-CACHE_ENTRIES = 200_000
+#: Encoded pre-tokens of a worker's cache (about 0.4 kB each) before its older half goes.
+CACHE_ENTRIES = 65_536
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Texts of these characters only are split by a plain class pattern; all others go to the tokenizer whole.
@@ -56,6 +56,8 @@ class Encoder(dict):
         import tiktoken
 
         super().__init__()
+        #: The older half of the cache; what is met again moves to the younger one.
+        self.older: dict[str, bytes] = {}
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -78,10 +80,13 @@ class Encoder(dict):
         return Tokenizer.from_file(self.path)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        out = self.older.pop(piece, None)
+        if out is None:
+            out = np.array(self.pieces._encode_single_piece(piece.encode()), "<u4").tobytes()
+        if len(self) >= CACHE_ENTRIES // 2:
+            self.older = dict(self)
             self.clear()
-        ids = self.pieces._encode_single_piece(piece.encode())
-        out = self[piece] = np.array(ids, "<u4").tobytes()
+        self[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:

@@ -21,6 +21,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Where checkpoints go if the session names no shared folder (tests on one machine).
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
+#: Bytes of rows sent to a Python worker at once, where the session does not say; Spark's 64 MB times the buffers
+#: on both sides are much of a small executor's memory.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -34,10 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     That is the one the session names, else the one the context has; only where there is
-    neither is one set.  Checkpoints that nothing refers to any more are removed, unless the
-    session says otherwise.
+    neither is one set.  Checkpoints that nothing refers to any more are removed, and batches
+    of ``ARROW_BATCH`` go to Python workers, unless the session says otherwise.
     """
     context = spark.sparkContext
+    if ARROW_BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*ARROW_BATCH)
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     inner = context._jsc.sc()
     inner.conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
