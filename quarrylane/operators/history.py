@@ -33,6 +33,18 @@ def smoothed(rows: DataFrame, by: list[str], order: str, value: str, alpha: floa
     return rows.select(*by, order, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull()).groupBy(*by).applyInPandas(smooth, schema)
 
 
+def merge_by_step(rows: DataFrame, posthoc: DataFrame, step: str) -> DataFrame:
+    """``rows`` updated by the post-hoc row of their step: its columns replace those of the same name, others are added.
+
+    A null of a post-hoc row leaves a value as it is; steps without one, or with a null, stay.
+    """
+    found = posthoc.select(F.col(step).alias("_step"), *[F.col(c).alias(f"_new_{c}") for c in posthoc.columns if c != step])
+    joined = rows.join(found, F.col(step) == F.col("_step"), "left")
+    new = [c for c in posthoc.columns if c not in rows.columns]
+    kept = [F.coalesce(f"_new_{c}", c).alias(c) if c in posthoc.columns and c != step else F.col(c) for c in rows.columns]
+    return joined.select(*kept, *[F.col(f"_new_{c}").alias(c) for c in new])
+
+
 def last_at_or_before(points: DataFrame, events: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """(by, order, value): for each event the last non-null value at or before it; one union and one window, no range join."""
     both = points.select(by, order, value, F.lit(0).alias("_side")).unionByName(

@@ -46,3 +46,17 @@ def js_divergence(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return shares.agg(
         (F.sum(part(F.col("p"))) / 2 + F.sum(part(F.col("q"))) / 2).alias("js_divergence"), F.max(F.abs(F.col("p") - F.col("q"))).alias("max_share_delta")
     )
+
+
+def transition_ratios(cases: DataFrame, by: str, subgroup: str) -> DataFrame:
+    """Transitions of each ``by`` with net improvement, ratio, rates and technical shares; a share of nothing is null."""
+    n = lambda prefix: F.count_if(F.col(subgroup).startswith(prefix))
+    counts = cases.groupBy(by).agg(
+        F.count("*").alias("total"), n("T1").alias("repairs"), n("T2").alias("regressions"), n("T3").alias("persistent"), n("T4").alias("stable"), n("T1a").alias("t1a"), n("T2a").alias("t2a"))
+    share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 9)
+    return counts.select(
+        by, "total", "repairs", "regressions", "persistent", "stable", (F.col("repairs") - F.col("regressions")).alias("net_improvement"),
+        share("repairs", "regressions").alias("repair_to_regression_ratio"), share("repairs", "total").alias("repair_rate"), share("regressions", "total").alias("regression_rate"),
+        share("persistent", "total").alias("persistent_rate"), share("stable", "total").alias("stable_rate"),
+        share("t1a", "repairs").alias("technical_share_of_repairs"), share("t2a", "regressions").alias("technical_share_of_regressions"),
+    )

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrylane.operators.lineage import settled
 
+#: Tokens that index nothing.
+STOP_WORDS = (
+    "the", "a", "an", "of", "in", "on", "to", "for", "and", "or", "is", "are", "was", "were", "what", "which", "who", "how", "many", "much", "show", "list",
+    "find", "give", "me", "there", "does", "do", "with", "that", "have", "has",
+)
+
 KINDS = ("id", "question", "sql", "pair")
 
 
@@ -51,6 +61,59 @@ def leakage_reasons(rows: DataFrame, protected: DataFrame) -> DataFrame:
     return flags(rows, protected).select("id", F.array_join(found, "+").alias("reasons"))
 
 
+def aligned(runs: dict[str, DataFrame], id_: str, place: str) -> DataFrame:
+    """One row a case of any run: its place in each run (``place_<run>``), and whether every run has it at the same one."""
+    out = None
+    for name, run in runs.items():
+        own = run.select(F.col(id_), F.col(place).alias(f"place_{name}"))
+        out = own if out is None else out.join(own, id_, "full_outer")
+    places = [F.col(f"place_{name}") for name in runs]
+    same = F.lit(True)
+    for p in places:
+        same = same & F.coalesce(p == places[0], F.lit(False))
+    return out.withColumn("same_place", same)
+
+
+def token_jaccard(rows: DataFrame, others: DataFrame, stop: tuple[str, ...], percent: int = 45, least: int = 3, most: int = 5) -> DataFrame:
+    """(id, other, jaccard, rank): the ``most`` other rows whose token sets are the most alike, at least ``percent``.
+
+    Both sides are (id, words) with distinct words.  A pair needs a shared token of
+    ``least`` letters that is no stop word; all tokens count in the ratio.  Sets that
+    reach the percentage share one of their rarest tokens, as many as a set may miss and
+    one, so only those are joined and a frequent token makes no pairs of its own.  A row
+    is no neighbour of its own id.  Ties go to the larger id.
+    """
+    tokens = lambda df: df.select("id", "words", F.explode("words").alias("token"))
+    frequency = tokens(rows).unionByName(tokens(others)).groupBy("token").agg(F.count("*").alias("f"))
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        # Ceilings of whole numbers; floats would shorten some prefixes.
+        n = F.size("words")
+        keep = n - F.floor((n * percent + 99) / 100).cast("int") + 1
+        listed = tokens(df).join(frequency, "token").groupBy("id", "words").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"))
+        return listed.select("id", "words", F.explode(F.slice("t", F.lit(1), keep)).alias("t")).select("id", "words", "t.token")
+
+    left = prefixes(rows)
+    right = prefixes(others).select(F.col("id").alias("other"), F.col("words").alias("other_words"), "token")
+    pairs = left.join(right, "token").where(F.col("id") != F.col("other")).drop("token").dropDuplicates(["id", "other"])
+    shared = F.array_intersect("words", "other_words")
+    union = F.size("words") + F.size("other_words") - F.size("shared")
+    indexed = F.exists("shared", lambda w: (F.length(w) >= least) & ~w.isin(*stop))
+    scored = pairs.withColumn("shared", shared).where(indexed & (100 * F.size("shared") >= percent * union)).withColumn("jaccard", F.size("shared") / union)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("jaccard"), F.desc("other")))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "other", "jaccard", F.col("rank").cast("long").alias("rank"))
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Ratio of matching blocks of two texts; null if either is."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)
+
+
 def long_keys(rows: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(id, kind, value) of every key."""
     columns = rows.select(F.col("id").alias("_row"), *[F.col(k).cast("string") for k in kinds])

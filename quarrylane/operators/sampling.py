@@ -56,15 +56,16 @@ def proportional_with_caps(weights: dict, capacities: dict, total: int, tie: Cal
     return taken
 
 
-def apportion_with_minimums(total: int, sizes: dict, minimums: dict) -> dict:
-    """Minimums first (never over the size), the rest one by one to the group farthest below its share."""
+def apportion_with_minimums(total: int, sizes: dict, minimums: dict, capacities: dict | None = None) -> dict:
+    """Minimums first (never over the size or the capacity), the rest one by one to the group farthest below its share."""
     whole = sum(sizes.values())
-    taken = {k: min(sizes[k], minimums.get(k, 0)) for k in sizes}
-    if sum(taken.values()) > total or total > whole:
+    most = sizes if capacities is None else {k: capacities.get(k, 0) for k in sizes}
+    taken = {k: min(most[k], minimums.get(k, 0)) for k in sizes}
+    if sum(taken.values()) > total or total > sum(most.values()):
         raise ValueError("minimums and sizes do not allow the total")
     share = {k: n / whole * total if whole else 0.0 for k, n in sizes.items()}
     while sum(taken.values()) < total:
-        best = max((k for k in sizes if taken[k] < sizes[k]), key=lambda k: (share[k] - taken[k], sizes[k], str(k)))
+        best = max((k for k in sizes if taken[k] < most[k]), key=lambda k: (share[k] - taken[k], sizes[k], str(k)))
         taken[best] += 1
     return taken
 
@@ -113,6 +114,40 @@ def priority_fill(rows: DataFrame, rare: Column, aggregation: Column, id_: str,
     return chosen.where("selection_bucket IS NOT NULL").drop("_kind", "_agg", "_rank")
 
 
+def extra_fill(candidates: DataFrame, aggregation: Column, id_: str, extra: int, rate: float, total: int, held: int, seed: str) -> DataFrame:
+    """``extra`` candidates beside preserved rows, so that of ``total`` rows in all a ``rate`` are aggregations.
+
+    ``held`` preserved rows are aggregations already.  Simple rows fill up; what they lack
+    aggregations give, and too few candidates are an error.  Adds ``selection_bucket``.
+    """
+    placed = candidates.withColumn("_kind", F.coalesce(aggregation, F.lit(False)))
+    counts = {r["_kind"]: r["n"] for r in placed.groupBy("_kind").agg(F.count("*").alias("n")).collect()}
+    first = min(max(0, round(total * rate) - held), extra, counts.get(True, 0))
+    simple = min(extra - first, counts.get(False, 0))
+    if first + simple < extra and counts.get(True, 0) < extra - simple:
+        raise ValueError(f"{sum(counts.values())} candidates cannot give {extra} rows")
+    rank = F.row_number().over(Window.partitionBy("_kind").orderBy(stable_key(F.lit(seed), F.col(id_).cast("string")), id_))
+    bucket = (
+        F.when(F.col("_kind") & (F.col("_rank") <= first), "extra_aggregation_fill")
+        .when(F.when(F.col("_kind"), F.col("_rank") <= extra - simple).otherwise(F.col("_rank") <= simple), "extra_simple_fill")
+    )
+    ranked = placed.withColumn("_rank", rank).where(F.col("_rank") <= extra)
+    return ranked.withColumn("selection_bucket", bucket).where("selection_bucket IS NOT NULL").drop("_kind", "_rank")
+
+
+def review_sample(rows: DataFrame, by: str, group: str, quotas: dict[str, int], id_: str, total: int, seed: str) -> DataFrame:
+    """``total`` rows of each ``by``: a quota of each group first, then others in hash order.
+
+    Adds ``place`` and ``swapped``, the blind order of a pair, by the parity of a hash.
+    """
+    key = stable_key(F.lit(seed), F.col(id_).cast("string"))
+    quota = F.coalesce(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col(group)], F.lit(0))
+    first = F.row_number().over(Window.partitionBy(by, group).orderBy(key, id_)) <= quota
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_first"), key, id_))
+    sampled = rows.withColumn("_first", first).withColumn("place", place).where(F.col("place") <= total)
+    return sampled.withColumn("swapped", F.conv(F.substring(key, 64, 1), 16, 10).cast("int") % 2 == 1).drop("_first")
+
+
 def buckets_without_replacement(rows: DataFrame, id_: str, buckets: list[tuple[str, Column, Column, int]], total: int) -> DataFrame:
     """Top rows of each bucket in turn, none twice, then the best of the rest up to ``total``.
 

@@ -94,6 +94,30 @@ def resampled_means(values: DataFrame, value: str, position: str, by: list[str],
     return drawn.join(values, [*by, position]).groupBy(*by, "replicate").agg(F.avg(value).alias("mean"))
 
 
+def did_interval(by: str, replicates: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """95 % percentile interval of a difference in differences, from one group's (by, treated, diff, n) counts.
+
+    Both arms are resampled on their own; replicates are multinomial counts of the distinct
+    differences.  A group with one arm has no interval.  The group's name is the seed.
+    """
+
+    def interval(group: pd.DataFrame) -> pd.DataFrame:
+        name = group[by].iloc[0]
+        random = np.random.default_rng(int.from_bytes(hashlib.sha256(f"did|{name}".encode()).digest()[:8], "little"))
+
+        def means(treated: bool) -> np.ndarray:
+            arm = group[group["treated"] == treated].sort_values("diff")
+            n, diff = arm["n"].to_numpy(), arm["diff"].to_numpy()
+            return np.concatenate([random.multinomial(n.sum(), n / n.sum(), min(250, replicates - a)) @ diff for a in range(0, replicates, 250)]) / n.sum()
+
+        if group["treated"].nunique() < 2:
+            return pd.DataFrame({by: [name], "ci_low": [None], "ci_high": [None]})
+        low, high = np.quantile(means(True) - means(False), [0.025, 0.975])
+        return pd.DataFrame({by: [name], "ci_low": [low], "ci_high": [high]})
+
+    return interval
+
+
 def bootstrap_interval(replicates: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """95 % percentile interval of the mean of one group's (lang, diff, n) counts.
 

@@ -35,6 +35,17 @@ def validate_split(rows: DataFrame, required: list[str], id_: str, expected: int
         raise ValueError("split is not valid: " + "; ".join(failures))
 
 
+def identities(old: DataFrame, new: DataFrame, key: str, id_: str, columns: tuple[str, ...]) -> DataFrame:
+    """One row: pairs of an old and another new row of one key, how many agree in each column, and whether all do in all."""
+    before = old.select(F.col(key).alias("_key"), F.col(id_).alias("_id"), *[F.col(c).alias(f"_old_{c}") for c in columns])
+    pairs = new.join(before, F.col(key) == F.col("_key")).where(F.col(id_) != F.col("_id"))
+    same = {c: F.col(c).eqNullSafe(F.col(f"_old_{c}")) for c in columns}
+    every = F.lit(True)
+    for flag in same.values():
+        every = every & flag
+    return pairs.agg(F.count("*").alias("n"), *[F.count_if(flag).alias(f"same_{c}") for c, flag in same.items()], F.coalesce(F.bool_and(every), F.lit(True)).alias("holds"))
+
+
 def check_index(index: DataFrame, metadata: DataFrame) -> int:
     """The number of rows of a vector index, which has to be that of its metadata."""
     n, m = index.count(), metadata.count()

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrylane.functions import normalize as N
 from quarrylane.functions import sqlfeatures as S
-from quarrylane.operators import dedup, history, metrics, sampling, statistics
+from quarrylane.operators import dedup, history, metrics, sampling, statistics, taxonomy, validation
 from quarrylane.plans.registry import register
 from quarrylane.plans.relational import table
+from quarrylane.plans.text import sql_collapse
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,11 +198,13 @@ register(
 )
 
 
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired outcomes with their subgroup; long documents stand for executable statements."""
+    return labelled(spark, sf_dir).withColumn("subgroup", taxonomy.transition(F.col("a") == 1, F.col("b") == 1, F.col("n_chars") > 500, F.col("n_chars") > 1000))
+
+
 def tax3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, l = F.col("a") == 1, F.col("b") == 1
-    ok, okl = F.col("n_chars") > 500, F.col("n_chars") > 1000
-    group = F.when(~b & l, F.when(~ok, "T1a").otherwise("T1b")).when(b & ~l, F.when(~okl, "T2a").otherwise("T2b")).when(~b & ~l, F.when(~ok & ~okl, "T3a").otherwise("T3b")).otherwise("T4")
-    return labelled(spark, sf_dir).groupBy(F.substring(group, 1, 2).alias("transition"), group.alias("subgroup")).agg(F.count("*").alias("n"))
+    return transitions(spark, sf_dir).groupBy(F.substring("subgroup", 1, 2).alias("transition"), "subgroup").agg(F.count("*").alias("n"))
 
 
 register(
@@ -208,6 +212,22 @@ register(
     f"WITH {LAB}, t AS (SELECT CASE WHEN a = 0 AND b = 1 THEN CASE WHEN n_chars <= 500 THEN 'T1a' ELSE 'T1b' END WHEN a = 1 AND b = 0 THEN CASE WHEN n_chars <= 1000 THEN 'T2a' ELSE 'T2b' END "
     "WHEN a = 0 AND b = 0 THEN CASE WHEN n_chars <= 500 AND n_chars <= 1000 THEN 'T3a' ELSE 'T3b' END ELSE 'T4' END AS subgroup FROM lab) SELECT substr(subgroup, 1, 2) AS transition, subgroup, count(*) AS n FROM t GROUP BY ALL",
 )
+
+
+def agg21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions of each source with what is derived from them."""
+    return metrics.transition_ratios(transitions(spark, sf_dir), "source", "subgroup")
+
+
+register(
+    "agg21_transition_ratios", agg21,
+    f"""WITH {LAB}, t AS (SELECT source, CASE WHEN a = 0 AND b = 1 THEN CASE WHEN n_chars <= 500 THEN 'T1a' ELSE 'T1b' END WHEN a = 1 AND b = 0 THEN CASE WHEN n_chars <= 1000 THEN 'T2a' ELSE 'T2b' END
+    WHEN a = 0 AND b = 0 THEN 'T3' ELSE 'T4' END AS g FROM lab), c AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE g LIKE 'T1%') AS repairs, count(*) FILTER (WHERE g LIKE 'T2%') AS regressions,
+    count(*) FILTER (WHERE g = 'T3') AS persistent, count(*) FILTER (WHERE g = 'T4') AS stable, count(*) FILTER (WHERE g = 'T1a') AS t1a, count(*) FILTER (WHERE g = 'T2a') AS t2a FROM t GROUP BY source)
+    SELECT source, total, repairs, regressions, persistent, stable, repairs - regressions AS net_improvement, round(repairs / nullif(regressions, 0), 9) AS repair_to_regression_ratio, round(repairs / total, 9) AS repair_rate,
+    round(regressions / total, 9) AS regression_rate, round(persistent / total, 9) AS persistent_rate, round(stable / total, 9) AS stable_rate, round(t1a / nullif(repairs, 0), 9) AS technical_share_of_repairs,
+    round(t2a / nullif(regressions, 0), 9) AS technical_share_of_regressions FROM c""",
+)
 register(
     "agg24_length_statistics",
     lambda spark, sf_dir: table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 2048).alias("over_limit"), *[F.round(F.percentile("n_chars", F.lit(p)), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.9, 0.95)], F.max("n_chars").alias("longest")),
@@ -265,6 +285,17 @@ register(
 )
 
 
+def sta5_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of the same estimate over ``REPLICATES`` resamples."""
+    diff = (F.col("b") - F.col("a")).cast("double")
+    counts = labelled(spark, sf_dir).groupBy("source", (F.col("lang") == "en").alias("treated"), diff.alias("diff")).agg(F.count("*").alias("n")).where("diff IS NOT NULL AND treated IS NOT NULL")
+    found = counts.groupBy("source").applyInPandas(statistics.did_interval("source", REPLICATES), "source string, ci_low double, ci_high double")
+    return found.select("source", *[F.round(c, 9).alias(c) for c in ("ci_low", "ci_high")])
+
+
+register("sta5_bootstrap_interval", sta5_interval)
+
+
 def sta6(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = labelled(spark, sf_dir).groupBy("source").agg(F.sum("a").alias("k"), F.count("*").alias("n"))
     w = statistics.wilson(F.col("k"), F.col("n"))
@@ -369,16 +400,39 @@ register(
 )
 
 
+#: Rows of each transition that a review looks at first, and rows in all, by source.
+REVIEW_QUOTAS, REVIEW_ROWS = {"01": 20, "10": 15, "00": 20, "11": 5}, 60
+
+
 def win20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = S.stable_key(F.lit("review"), F.col("doc_id").cast("string"))
-    l = labelled(spark, sf_dir).select("doc_id", F.concat(F.col("a").cast("string"), F.col("b").cast("string")).alias("transition"), k.alias("k"))
-    ranked = l.withColumn("r", F.row_number().over(Window.partitionBy("transition").orderBy("k", "doc_id"))).where("r <= 10")
-    return ranked.select("doc_id", "transition", (F.conv(F.substring("k", 1, 1), 16, 10).cast("int") % 2 == 1).alias("swapped"))
+    pairs = labelled(spark, sf_dir).select("doc_id", "source", F.concat(F.col("a").cast("string"), F.col("b").cast("string")).alias("transition"))
+    return sampling.review_sample(pairs, "source", "transition", REVIEW_QUOTAS, "doc_id", REVIEW_ROWS, "review").withColumn("place", F.col("place").cast("long"))
 
 
 register(
     "win20_review_sample", win20,
-    f"WITH {LAB}, k AS (SELECT doc_id, a::VARCHAR || b::VARCHAR AS transition, sha256('review|' || doc_id) AS k FROM lab) SELECT doc_id, transition, CAST('0x' || substr(k, 1, 1) AS INTEGER) % 2 = 1 AS swapped FROM k QUALIFY row_number() OVER (PARTITION BY transition ORDER BY k, doc_id) <= 10",
+    f"""WITH {LAB}, q AS (SELECT * FROM (VALUES {', '.join(map(str, REVIEW_QUOTAS.items()))}) q(transition, quota)), k AS (SELECT doc_id, source, a::VARCHAR || b::VARCHAR AS transition, sha256('review|' || doc_id) AS k FROM lab),
+    f AS (SELECT *, row_number() OVER (PARTITION BY source, transition ORDER BY k, doc_id) <= coalesce((SELECT quota FROM q WHERE q.transition = k.transition), 0) AS first FROM k),
+    p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY first DESC, k, doc_id) AS place FROM f)
+    SELECT doc_id, source, transition, place, CAST('0x' || substr(k, 64, 1) AS INTEGER) % 2 = 1 AS swapped FROM p WHERE place <= {REVIEW_ROWS}""",
+)
+
+
+def win15b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one source are preserved; a quarter as many others bring long documents to 40 %."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    held = d.where("source = 'src0'").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 3000).alias("long")).first()
+    extra = held["n"] // 4
+    found = sampling.extra_fill(d.where("source <> 'src0'"), F.col("n_chars") > 3000, "doc_id", extra, 0.4, held["n"] + extra, held["long"], "15")
+    return found.select("doc_id", "selection_bucket")
+
+
+register(
+    "win15b_extra_fill", win15b,
+    """WITH h AS (SELECT count(*) AS n, count(*) FILTER (WHERE n_chars > 3000) AS long FROM documents WHERE source = 'src0'), c AS (SELECT doc_id, n_chars > 3000 AS agg FROM documents WHERE source <> 'src0'),
+    t AS (SELECT n // 4 AS extra, least(greatest(0, CAST(round_even((n + n // 4) * 0.4::DOUBLE, 0) AS BIGINT) - long), n // 4, (SELECT count(*) FROM c WHERE agg)) AS first FROM h),
+    s AS (SELECT *, least(extra - first, (SELECT count(*) FROM c WHERE NOT agg)) AS simple FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY agg ORDER BY sha256('15|' || doc_id), doc_id) AS k FROM c)
+    SELECT doc_id, CASE WHEN agg AND k <= first THEN 'extra_aggregation_fill' ELSE 'extra_simple_fill' END AS selection_bucket FROM r, s WHERE CASE WHEN agg THEN k <= extra - simple ELSE k <= simple END""",
 )
 
 # History.
@@ -419,11 +473,18 @@ register(
     lambda spark, sf_dir: history.last_at_or_before(checkpoints(spark, sf_dir)[1], checkpoints(spark, sf_dir)[0], "user_id", "event_id", "value"),
     "SELECT c.user_id, c.event_id, p.value FROM (SELECT * FROM events WHERE event_type = 'purchase') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase' AND value IS NOT NULL) p ON c.user_id = p.user_id AND c.event_id >= p.event_id",
 )
+
+
+def jn12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as steps, updated by what their large items say: a new total, and how many there are."""
+    steps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("loss"), "o_orderstatus")
+    large = table(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_orderkey").alias("step")).agg(F.round(F.sum("l_extendedprice"), 2).alias("loss"), F.count("*").alias("items"))
+    return history.merge_by_step(steps, large, "step")
+
+
 register(
-    "jn12_merge_by_step",
-    lambda spark, sf_dir: table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("posthoc")), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        "o_orderkey", F.coalesce("posthoc", "o_totalprice").alias("metric")),
-    "SELECT o_orderkey, coalesce(p, o_totalprice) AS metric FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS p FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey",
+    "jn12_merge_by_step", jn12,
+    "SELECT o_orderkey AS step, coalesce(p, o_totalprice) AS loss, o_orderstatus, items FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS p, count(*) AS items FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON o_orderkey = l_orderkey",
 )
 register(
     "jn13_interval_assignment",
@@ -481,15 +542,20 @@ register(
     "val5_val7_gate_identity", val57,
     f"WITH {LAB}, g AS (SELECT *, (n_chars % 100) / 100 AS s FROM lab) SELECT CASE WHEN s >= 0.7 THEN 'fewshot' ELSE 'zero_shot' END AS decision, count(*) AS n, count(*) AS identical, round(avg(s), 6) AS mean_similarity FROM g GROUP BY 1",
 )
+CONTROL_FLAGS = ("text", "lang", "source", "n_chars", "trimmed")
+
+
+def val9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that say the same but for white space and case, beside the first of them: five identities."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars", F.trim("text").alias("trimmed"), F.md5(N.norm_q_lower(F.col("text"))).alias("k"))
+    return validation.identities(dedup.first_wins(d, [F.col("k")], [F.col("doc_id")]), d, "k", "doc_id", CONTROL_FLAGS)
+
+
 register(
-    "val9_negative_control",
-    lambda spark, sf_dir: labelled(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("same_outcome"), F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("holds")),
-    f"WITH {LAB} SELECT count(*) AS n, count(*) FILTER (WHERE a IS NOT DISTINCT FROM b) AS same_outcome, bool_and(a IS NOT DISTINCT FROM b) AS holds FROM lab",
-)
-register(
-    "src_keyed_unique_ids",
-    lambda spark, sf_dir: dedup.first_wins(table(spark, sf_dir, "labels"), [F.col("doc_id")], [F.col("quality"), F.col("toxic")]).agg(F.count("*").alias("ids")),
-    "SELECT count(DISTINCT doc_id) AS ids FROM labels",
+    "val9_negative_control", val9,
+    f"""WITH d AS (SELECT *, trim(text, ' ') AS trimmed, md5({sql_collapse('lower(text)')}) AS k FROM documents), o AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1),
+    p AS (SELECT {', '.join(f'd.{c} IS NOT DISTINCT FROM o.{c} AS {c}' for c in CONTROL_FLAGS)} FROM d JOIN o ON d.k = o.k AND d.doc_id <> o.doc_id)
+    SELECT count(*) AS n, {', '.join(f'count(*) FILTER (WHERE {c}) AS same_{c}' for c in CONTROL_FLAGS)}, coalesce(bool_and({' AND '.join(CONTROL_FLAGS)}), true) AS holds FROM p""",
 )
 register(
     "src13_filename_parse",

@@ -1,4 +1,4 @@
-"""Queries over joins, overlap, deduplication, sets and filters (JN-*, SET-*, FLT-*, SNK-8)."""
+"""Queries over joins, overlap, deduplication, sets and filters (JN-*, SET-*, FLT-*)."""
 
 from __future__ import annotations
 
@@ -197,29 +197,48 @@ register(
 )
 
 
-def words(df: DataFrame, id_: str) -> DataFrame:
-    w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+"), F.lit(0)))
-    return df.select(F.col(id_).alias("id"), F.array_distinct(w).alias("w")).select("id", F.size("w").alias("n"), F.explode("w").alias("token"))
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, words) of all conversation turns."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return c.withColumn("words", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+"), F.lit(0))))
 
 
 def jn10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token Jaccard of benchmark texts with one another; tokens of three letters or more index, all tokens count."""
-    t = words(table(spark, sf_dir, "benchmark"), "item_id")
-    left, right = t.select("id", "n", "token"), t.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("token").alias("k"))
-    shared = left.join(right, (F.col("token") == F.col("k")) & (F.col("id") != F.col("other"))).groupBy("id", "other", "n", "m").agg(
-        F.count("*").alias("both"), F.max(F.length("token")).alias("longest"))
-    jaccard = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    scored = shared.where("longest >= 3").withColumn("jaccard", jaccard).where("jaccard >= 0.2")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("jaccard"), F.desc("other")))
-    return scored.withColumn("rank", rank).where("rank <= 5").select("id", "other", F.round("jaccard", 9).alias("jaccard"), F.col("rank").cast("long").alias("rank"))
+    """Turns with the five others whose tokens are the most alike."""
+    t = turns(spark, sf_dir).select("id", "words")
+    return overlap.token_jaccard(t, t, overlap.STOP_WORDS).withColumn("jaccard", F.round("jaccard", 9))
 
 
 register(
     "jn10_token_jaccard", jn10,
-    "WITH t AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), u AS (SELECT id, len(w) AS n, unnest(w) AS token FROM t), "
-    "s AS (SELECT a.id, b.id AS other, a.n, b.n AS m, count(*) AS common, max(length(a.token)) AS longest FROM u a JOIN u b ON a.token = b.token AND a.id <> b.id GROUP BY ALL), "
-    "j AS (SELECT *, common / (n + m - common) AS jaccard FROM s WHERE longest >= 3), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY jaccard DESC, other DESC) AS rank FROM j WHERE jaccard >= 0.2) "
-    "SELECT id, other, round(jaccard, 9) AS jaccard, rank FROM r WHERE rank <= 5",
+    f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations), u AS (SELECT id, len(w) AS n, unnest(w) AS token FROM t),
+    s AS (SELECT a.id, b.id AS other, a.n, b.n AS m, count(*) AS common, bool_or(length(a.token) >= 3 AND a.token NOT IN {overlap.STOP_WORDS}) AS indexed FROM u a JOIN u b ON a.token = b.token AND a.id <> b.id GROUP BY ALL),
+    j AS (SELECT *, common / (n + m - common) AS jaccard FROM s WHERE indexed AND 100 * common >= 45 * (n + m - common)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY jaccard DESC, other DESC) AS rank FROM j) SELECT id, other, round(jaccard, 9) AS jaccard, rank FROM r WHERE rank <= 5""",
+)
+
+
+def jn10_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with the sequence ratio of their normalised texts."""
+    text = turns(spark, sf_dir).select("id", N.norm_q_nfkc(F.col("text")).alias("text"))
+    pairs = jn10(spark, sf_dir).join(text, "id").join(text.select(F.col("id").alias("other"), F.col("text").alias("other_text")), "other")
+    return pairs.select("id", "other", "jaccard", F.round(overlap.sequence_ratio(F.col("text"), F.col("other_text")), 9).alias("sequence_ratio"))
+
+
+register("jn10_sequence_ratio", jn10_ratio)
+
+
+def jn14_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as three runs that list them by key, by region and by name."""
+    n = table(spark, sf_dir, "nation")
+    at = lambda *order: n.select(F.col("n_nationkey").alias("case_id"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return overlap.aligned({"by_key": at("n_nationkey"), "by_region": at("n_regionkey", "n_nationkey"), "by_name": at("n_name", "n_nationkey")}, "case_id", "place")
+
+
+register(
+    "jn14_run_order", jn14_order,
+    "SELECT *, place_by_region = place_by_key AND place_by_name = place_by_key AS same_place FROM (SELECT n_nationkey AS case_id, row_number() OVER (ORDER BY n_nationkey) AS place_by_key, "
+    "row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS place_by_region, row_number() OVER (ORDER BY n_name, n_nationkey) AS place_by_name FROM nation)",
 )
 register(
     "jn15_entities_in_question",
@@ -332,12 +351,6 @@ register(
     w(id, reach) AS (SELECT id, id FROM r UNION SELECT w.id, e.b FROM w JOIN e ON w.reach = e.a), c AS (SELECT id, min(reach) AS component FROM w GROUP BY id)
     SELECT component, bool_or(l.doc_id IS NOT NULL) AS forced_to_train, count(*) AS size FROM c LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0) l ON c.id = l.doc_id GROUP BY component""",
 )
-register(
-    "snk8_verify_recomputed",
-    lambda spark, sf_dir: table(spark, sf_dir, "region").exceptAll(table(spark, sf_dir, "region").select("*")).agg((F.count("*") == 0).alias("identical")),
-    "SELECT count(*) = 0 AS identical FROM (SELECT * FROM region EXCEPT ALL SELECT * FROM region)",
-)
-
 # Filters and gates.
 REASON = lambda: F.coalesce(
     F.when(F.col("text") == "", "empty"), F.when(F.col("n_chars") < 300, "too_short"), F.when(F.col("lang") != "en", "language"), F.when(F.col("source") == "src0", "source")

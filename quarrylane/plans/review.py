@@ -11,7 +11,8 @@ from quarrylane.functions import normalize as N
 from quarrylane.functions import schematext as T
 from quarrylane.functions import sqlfeatures as S
 from quarrylane.functions import textscan
-from quarrylane.operators import overlap, splits, statistics
+from quarrylane.operators import overlap, splits, statistics, strata
+from quarrylane.operators.lineage import settled
 from quarrylane.plans import text as P
 from quarrylane.plans.aggregates import LAB, TAIL, labelled
 from quarrylane.plans.cases import CTE, cases
@@ -220,6 +221,20 @@ def win14(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("win14_component_split", win14)
 
 
+def win15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty and forty documents as whole components, by language; those of low quality stay in training."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").alias("id"), F.md5(N.norm_q_lower(F.col("text"))).alias("question"), "lang", (F.col("n_chars") > 3000).alias("long"), (F.col("source") < "src4").alias("early"))
+    grouped = settled(overlap.components(rows, ("question",)))
+    joined = settled(rows.join(grouped.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i"))
+    forced = grouped.join(table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("p")), F.col("id") == F.col("p")).select("component")
+    features = {"long": F.col("long"), "early": F.col("early")}
+    return strata.split_by_strata(joined, "component", "lang", features, {"retrieval": 60, "validation": 40}, "strata", forced).select("id", "component", "lang", "role")
+
+
+register("win15_strata_split", win15)
+
+
 def fea4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexer features of the gold statements."""
     names = {"join_count": "long", "join_bin": "string", "subquery": "boolean", "where_condition_count": "long", "literal_count": "long", "sql_token_length": "long",

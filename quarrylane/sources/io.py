@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from quarrylane.operators.lineage import settled
+
 #: Fields of a training history.
 HISTORY_FIELDS = (
     "step", "epoch", "loss", "eval_loss", "grad_norm", "learning_rate", "entropy", "num_tokens", "mean_token_accuracy", "train_runtime", "timestamp", "elapsed_seconds"
@@ -116,8 +118,31 @@ def log_history(spark: SparkSession, path: str, steps_per_epoch: int | None = No
     return history_rows(wide.withColumn("step", step))
 
 
+def _files(spark: SparkSession, directory: str) -> list:
+    """Hadoop statuses of what a directory holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return list(system.listStatus(path))
+
+
+def _history_of_directory(spark: SparkSession, directory: str) -> DataFrame:
+    """What a run's directory has: its CSV, else its JSON lines, else its latest log, else its latest trainer state; else no rows."""
+    found = {f.getPath().getName(): f for f in _files(spark, directory)}
+    for name in ("training_history.csv", "training_history.jsonl"):
+        if name in found:
+            return load_history(spark, f"{directory}/{name}")
+    logs = sorted((f.getModificationTime(), name) for name, f in found.items() if name.endswith(".log"))
+    if logs:
+        return log_history(spark, f"{directory}/{logs[-1][1]}")
+    places = [directory, *(f"{directory}/{name}" for name, f in found.items() if f.isDirectory())]
+    states = sorted((f.getModificationTime(), f.getPath().toString()) for place in places for f in _files(spark, place) if f.getPath().getName() == "trainer_state.json")
+    if states:
+        return trainer_state(spark, states[-1][1])
+    return history_rows(spark.createDataFrame([], "step double"))
+
+
 def load_history(spark: SparkSession, path: str) -> DataFrame:
-    """A history by the suffix of its file."""
+    """A history by its suffix (of a file, or of a folder that Spark wrote), or what a run's directory has."""
     suffix = re.search(r"\.(\w+)$", path)
     kind = suffix.group(1).lower() if suffix else ""
     if kind == "csv":
@@ -126,8 +151,12 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
         return history_rows(spark.read.json(path))
     if kind == "json":
         return trainer_state(spark, path)
-    if kind in ("log", "txt"):
+    if kind in ("log", "txt", "out"):
         return log_history(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(target) and system.getFileStatus(target).isDirectory():
+        return _history_of_directory(spark, path.rstrip("/"))
     raise ValueError(f"no history reader for {path}")
 
 
@@ -136,6 +165,38 @@ def write_new(rows: DataFrame, path: str, kind: str = "json") -> None:
     rows.write.mode("errorifexists").option("header", True).format(kind).save(path)
 
 
+def write_all(frames: dict[str, DataFrame], kind: str = "json") -> None:
+    """Writes several targets, none of which becomes visible before all are written.
+
+    Each is written beside its target and then renamed, an older target being removed;
+    if a write fails, what was written is removed and the targets stay as they were.
+    """
+    import uuid
+
+    tag, done = uuid.uuid4().hex, []
+    spark = next(iter(frames.values())).sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = lambda path: place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        for target, rows in frames.items():
+            done.append(f"{target}.{tag}")
+            rows.write.option("header", True).format(kind).save(done[-1])
+        for target in frames:
+            system(target).delete(place(target), True)
+            if not system(target).rename(place(f"{target}.{tag}"), place(target)):
+                raise OSError(f"cannot rename to {target}")
+    finally:
+        for path in done:
+            system(path).delete(place(path), True)
+
+
+def append_history(rows: DataFrame, directory: str) -> None:
+    """Appends history rows as CSV and as JSON lines; they are computed once."""
+    known = settled(history_rows(rows))
+    append(known, f"{directory}/training_history.csv", "csv")
+    append(known, f"{directory}/training_history.jsonl", "json")
+
+
 def append(rows: DataFrame, path: str, kind: str = "json") -> None:
     """Appends rows."""
     rows.write.mode("append").option("header", True).format(kind).save(path)
