@@ -89,13 +89,16 @@ def token_jaccard(rows: DataFrame, others: DataFrame, stop: tuple[str, ...], per
     def prefixes(df: DataFrame) -> DataFrame:
         # Ceilings of whole numbers; floats would shorten some prefixes.
         n = F.size("words")
-        keep = n - F.floor((n * percent + 99) / 100).cast("int") + 1
-        listed = tokens(df).join(frequency, "token").groupBy("id", "words").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"))
-        return listed.select("id", "words", F.explode(F.slice("t", F.lit(1), keep)).alias("t")).select("id", "words", "t.token")
+        listed = tokens(df).join(frequency, "token").groupBy("id", n.alias("n")).agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"))
+        keep = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
+        return listed.select("id", "n", F.explode(F.slice("t", F.lit(1), keep)).alias("t")).select("id", "n", "t.token")
 
     left = prefixes(rows)
-    right = prefixes(others).select(F.col("id").alias("other"), F.col("words").alias("other_words"), "token")
-    pairs = left.join(right, "token").where(F.col("id") != F.col("other")).drop("token").dropDuplicates(["id", "other"])
+    right = prefixes(others).select(F.col("id").alias("other"), F.col("n").alias("m"), "token")
+    # Sets of too different sizes cannot reach the percentage; pairs carry ids alone until each is there once.
+    fits = (F.col("id") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    ids = left.join(right, "token").where(fits).select("id", "other").distinct()
+    pairs = ids.join(rows.select("id", "words"), "id").join(others.select(F.col("id").alias("other"), F.col("words").alias("other_words")), "other")
     shared = F.array_intersect("words", "other_words")
     union = F.size("words") + F.size("other_words") - F.size("shared")
     indexed = F.exists("shared", lambda w: (F.length(w) >= least) & ~w.isin(*stop))

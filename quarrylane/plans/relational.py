@@ -197,37 +197,27 @@ register(
 )
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text, words) of all conversation turns."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return c.withColumn("words", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+"), F.lit(0))))
+def worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, words) of all documents."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return d.withColumn("words", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9]+"), F.lit(0))))
 
 
 def jn10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with the five others whose tokens are the most alike."""
-    t = turns(spark, sf_dir).select("id", "words")
+    """Documents with the five others whose tokens are the most alike."""
+    t = worded(spark, sf_dir).select("id", "words")
     return overlap.token_jaccard(t, t, overlap.STOP_WORDS).withColumn("jaccard", F.round("jaccard", 9))
 
 
 register(
     "jn10_token_jaccard", jn10,
-    f"""WITH t AS (SELECT conv_id * 1000 + turn AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations), u AS (SELECT id, len(w) AS n, unnest(w) AS token FROM t),
+    f"""WITH t AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), u AS (SELECT id, len(w) AS n, unnest(w) AS token FROM t),
     s AS (SELECT a.id, b.id AS other, a.n, b.n AS m, count(*) AS common, bool_or(length(a.token) >= 3 AND a.token NOT IN {overlap.STOP_WORDS}) AS indexed FROM u a JOIN u b ON a.token = b.token AND a.id <> b.id GROUP BY ALL),
     j AS (SELECT *, common / (n + m - common) AS jaccard FROM s WHERE indexed AND 100 * common >= 45 * (n + m - common)),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY jaccard DESC, other DESC) AS rank FROM j) SELECT id, other, round(jaccard, 9) AS jaccard, rank FROM r WHERE rank <= 5""",
 )
 
 
-def jn10_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same pairs with the sequence ratio of their normalised texts."""
-    text = turns(spark, sf_dir).select("id", N.norm_q_nfkc(F.col("text")).alias("text"))
-    pairs = jn10(spark, sf_dir).join(text, "id").join(text.select(F.col("id").alias("other"), F.col("text").alias("other_text")), "other")
-    return pairs.select("id", "other", "jaccard", F.round(overlap.sequence_ratio(F.col("text"), F.col("other_text")), 9).alias("sequence_ratio"))
-
-
-register("jn10_sequence_ratio", jn10_ratio)
-
-
 def jn14_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as three runs that list them by key, by region and by name."""
     n = table(spark, sf_dir, "nation")
