@@ -34,7 +34,7 @@ SALT_PIECES, LEAST_SALTS = 1 << 16, 1024
 #: Parts that counts of equal pieces are kept in.
 COPY_PARTS = 1024
 #: Encoded pre-tokens of a worker's cache (about 0.4 kB each) before its older half goes.
-CACHE_ENTRIES = 65_536
+CACHE_ENTRIES = 131_072
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Texts of these characters only are split by a plain class pattern; all others go to the tokenizer whole.
