@@ -506,11 +506,6 @@ register(
     f"WITH {LAB}, s AS (SELECT source, count(*) AS n, count(DISTINCT doc_id) AS ids, avg(a) AS ema, count(*) FILTER (WHERE lang IS NULL) AS nulls FROM lab GROUP BY 1), "
     "f AS (SELECT source, concat_ws(',', CASE WHEN n <> ids THEN 'duplicate_id' END, CASE WHEN n < 20 THEN 'too_few_rows' END, CASE WHEN ema < 0.85 THEN 'low_ema' END, CASE WHEN nulls > 0 THEN 'null_lang' END) AS failures FROM s) SELECT source, failures, CASE WHEN failures = '' THEN 'PASS' ELSE 'FAIL' END AS status FROM f",
 )
-register(
-    "val3_retrieval_identity",
-    lambda spark, sf_dir: table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("text_md5")).agg(F.count_distinct(F.concat_ws("|", "lang", "source")).alias("variants")).groupBy("variants").agg(F.count("*").alias("n")),
-    "SELECT variants, count(*) AS n FROM (SELECT md5(text) AS t, count(DISTINCT lang || '|' || source) AS variants FROM documents GROUP BY 1) GROUP BY 1",
-)
 register(
     "val4_metric_reproduction",
     lambda spark, sf_dir: table(spark, sf_dir, "documents").agg(F.count_if(F.abs(F.col("n_chars") - F.char_length("text")) > 0).alias("mismatches"), F.count("*").alias("n")),
@@ -529,19 +524,6 @@ register(
     "val6_sta10_config_diff", val6,
     f"WITH c AS (SELECT * FROM (VALUES {', '.join(map(str, CONFIGS))}) t(config, k, v)) SELECT coalesce(a.k, b.k) AS key, a.v AS \"left\", b.v AS \"right\" FROM (SELECT * FROM c WHERE config = 'a') a FULL JOIN (SELECT * FROM c WHERE config = 'b') b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v",
 )
-
-
-def val57(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = labelled(spark, sf_dir).withColumn("similarity", (F.col("n_chars") % 100) / 100)
-    gated = l.withColumn("decision", F.when(F.col("similarity") >= 0.7, "fewshot").otherwise("zero_shot")).withColumn("gate", F.when(F.col("decision") == "fewshot", F.col("b")).otherwise(F.col("a")))
-    reference = F.when(F.col("decision") == "fewshot", F.col("b")).otherwise(F.col("a"))
-    return gated.groupBy("decision").agg(F.count("*").alias("n"), F.count_if(F.col("gate").eqNullSafe(reference)).alias("identical"), F.round(F.avg("similarity"), 6).alias("mean_similarity"))
-
-
-register(
-    "val5_val7_gate_identity", val57,
-    f"WITH {LAB}, g AS (SELECT *, (n_chars % 100) / 100 AS s FROM lab) SELECT CASE WHEN s >= 0.7 THEN 'fewshot' ELSE 'zero_shot' END AS decision, count(*) AS n, count(*) AS identical, round(avg(s), 6) AS mean_similarity FROM g GROUP BY 1",
-)
 CONTROL_FLAGS = ("text", "lang", "source", "n_chars", "trimmed")
 
 

@@ -21,7 +21,7 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], oracle:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from quarrylane.plans import aggregates, execution, relational, review, roundtrip, schema, text, validation  # noqa: F401
+    from quarrylane.plans import aggregates, execution, relational, review, roundtrip, runs, schema, text, validation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

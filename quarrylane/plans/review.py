@@ -1,4 +1,4 @@
-"""Queries over review rules, run comparisons and identities (TAX-6, TAX-7, VAL-8, VAL-10, STA-7, STA-9, AGG-23, FEA-17, 18, 24, 26, 30, EXE-9, WIN-14, WIN-17)."""
+"""Queries over review rules, run comparisons and identities (TAX-6, TAX-7, VAL-10, STA-7, STA-9, AGG-23, FEA-17, 18, 24, 26, 30, EXE-9, WIN-14, WIN-17)."""
 
 from __future__ import annotations
 
@@ -52,20 +52,6 @@ register(
 )
 
 
-def val8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    again = e.select(F.col("event_id").alias("i"), F.col("user_id").alias("u"), (F.col("value") + 1e-13).alias("v"))
-    delta = F.abs(F.col("value") - F.col("v"))
-    return e.join(again, F.col("event_id") == F.col("i")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("user_id").eqNullSafe(F.col("u"))).alias("same_ids"), F.count_if(delta <= 1e-12).alias("within_tolerance"), F.round(F.max(delta), 9).alias("max_delta"))
-
-
-register(
-    "val8_trace_comparison", val8,
-    "SELECT count(*) AS n, count(*) AS same_ids, count(*) FILTER (WHERE abs(value - (value + 1e-13)) <= 1e-12) AS within_tolerance, round(max(abs(value - (value + 1e-13))), 9) AS max_delta FROM events",
-)
-
-
 def val10(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     plain = c.select("conv_id", "turn", F.md5(N.norm_q_lower(F.col("text"))).alias("a"))
