@@ -6,6 +6,7 @@ import re
 import threading
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,49 @@ def to_spark_sql(text: str) -> str:
     return "".join(parts)
 
 
+#: Quoted parts and comments, and a column that is not in a subquery's rows.
+_OPAQUE = re.compile(r"'(?:''|[^'])*'|\"(?:\"\"|[^\"])*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+_NOT_IN = re.compile(r"(?i)(?:\b(?:where|and|or|not|on|having|when|then|else|select)\s+|[(,]\s*)((?:[a-z_]\w*\s*\.\s*)*[a-z_]\w*)\s+not\s+in\s*\((?=\s*(?:select|with)\b)")
+#: Subqueries with these may give other rows when they run again.
+_UNSTEADY = re.compile(r"(?i)\b(limit|fetch|tablesample|rand|randn|random|uuid|shuffle)\b")
+
+
+def without_null_aware_joins(text: str) -> str:
+    """The statement with ``column NOT IN (subquery)`` written as a search for the value and one count of the subquery's nulls.
+
+    Spark sends a subquery under NOT IN to all tasks whole, however large it is; this
+    form joins by a shuffle.  The result is that of NOT IN: true of no rows, unknown
+    without a match if the column or one of the rows is null.
+    """
+    bare = _OPAQUE.sub(lambda m: " " * len(m[0]), text)
+    found = _NOT_IN.search(bare)
+    if not found:
+        return text
+    depth, end = 1, found.end()
+    while depth and end < len(bare):
+        depth += {"(": 1, ")": -1}.get(bare[end], 0)
+        end += 1
+    inner = text[found.end() : end - 1]
+    rest = without_null_aware_joins(text[end:])
+    if depth or _UNSTEADY.search(bare[found.end() : end]):
+        return text[: found.end()] + inner + text[end - 1 : end] + rest
+    column, rows = text[slice(*found.span(1))], f"({without_null_aware_joins(inner)}\n) AS _in_rows(_in_value)"
+    state = f"SELECT CASE WHEN count(*) = 0 THEN 0 WHEN count(_in_value) = count(*) THEN 1 END FROM {rows}"
+    search = f"SELECT 1 FROM (SELECT DISTINCT _in_value FROM {rows}) AS _in_values WHERE _in_value = {column}"
+    return f"{text[: found.start(1)]}CASE WHEN EXISTS ({search}) THEN FALSE ELSE CASE ({state}) WHEN 0 THEN TRUE WHEN 1 THEN nullif({column} IS NOT NULL, FALSE) END END{rest}"
+
+
+def statement(spark: SparkSession, text: str) -> DataFrame:
+    """The statement's rows, without null-aware joins where its subqueries read no outer columns."""
+    other = without_null_aware_joins(text)
+    if other != text:
+        try:
+            return spark.sql(other)
+        except AnalysisException:
+            pass  # a subquery that reads outer columns, or the statement's own error
+    return spark.sql(text)
+
+
 def execute(spark: SparkSession, text: str | None, seconds: float | None = None, most: int | None = None) -> Execution:
     """Runs one statement over the session's views; errors, timeouts and too many rows become the error text.
 
@@ -51,7 +95,7 @@ def execute(spark: SparkSession, text: str | None, seconds: float | None = None,
     try:
         if timer:
             timer.start()
-        rows = spark.sql(to_spark_sql(text))
+        rows = statement(spark, to_spark_sql(text))
         # Columns may repeat or clash in a result; bags only know their order.
         rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
         if most is not None and rows.limit(most + 1).count() > most:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylane.functions import sqlfeatures as S
-from quarrylane.operators import retrieval
+from quarrylane.operators import execution, retrieval
 from quarrylane.plans.registry import register
 from quarrylane.plans.relational import table
 
@@ -36,7 +36,7 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
 def exec_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, exec_match) of the suite."""
     register_views(spark, sf_dir)
-    return spark.sql(SUITE_SQL)
+    return execution.statement(spark, SUITE_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

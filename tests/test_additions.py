@@ -119,3 +119,40 @@ def test_write_all_is_whole_or_nothing(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/a").count() == 3 and [p.name for p in tmp_path.iterdir()] == ["a"]
     io.write_all({f"{tmp_path}/a": spark.range(4), f"{tmp_path}/b": good})
     assert spark.read.json(f"{tmp_path}/a").count() == 4 and spark.read.json(f"{tmp_path}/b").count() == 3
+
+
+def joins_of(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Join" in line or "Broadcast" in line]
+
+
+@pytest.fixture
+def no_small_sides(spark):
+    """Every side of a join counts as too large to be sent to all tasks."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_execution_match_broadcasts_no_subquery(spark, no_small_sides):
+    found = joins_of(registry.queries()["exe1_set6_exec_match"](spark, SF))
+    assert found and not any("Broadcast" in line for line in found)
+
+
+@pytest.mark.parametrize("xs", [[1, 2, None], [], [1, 3]])
+@pytest.mark.parametrize("ys", [[], [1], [1, None], [None], [5, 5]])
+def test_not_in_without_null_aware_joins(spark, no_small_sides, xs, ys):
+    from quarrylane.operators import execution
+
+    spark.createDataFrame([(x,) for x in xs], "x int").createOrReplaceTempView("not_in_a")
+    spark.createDataFrame([(y,) for y in ys], "y int").createOrReplaceTempView("not_in_b")
+    plain = execution.statement(spark, "SELECT x FROM not_in_a WHERE x NOT IN (SELECT y FROM not_in_b -- )\n) AND 'NOT IN (' <> ')'")
+    assert sorted(map(str, plain.collect())) == sorted(f"Row(x={x})" for x in xs if not ys or x is not None and None not in ys and x not in ys)
+    assert not any("Broadcast" in line for line in joins_of(plain))
+    truth = lambda x: True if not ys else False if x is not None and x in ys else None if x is None or None in ys else True
+    shown = execution.statement(spark, "SELECT x, x NOT IN (SELECT y FROM not_in_b) AS k FROM not_in_a").collect()
+    assert sorted(map(str, shown)) == sorted(f"Row(x={x}, k={truth(x)})" for x in xs)
+    # Subqueries that read outer columns, and operands that are no plain column, stay as they are.
+    for text in ("SELECT x FROM not_in_a WHERE x NOT IN (SELECT y FROM not_in_b WHERE y = x)", "SELECT x FROM not_in_a WHERE x + 1 NOT IN (SELECT y FROM not_in_b)"):
+        assert sorted(map(str, execution.statement(spark, text).collect())) == sorted(map(str, spark.sql(text).collect()))
