@@ -156,3 +156,10 @@ def test_not_in_without_null_aware_joins(spark, no_small_sides, xs, ys):
     # Subqueries that read outer columns, and operands that are no plain column, stay as they are.
     for text in ("SELECT x FROM not_in_a WHERE x NOT IN (SELECT y FROM not_in_b WHERE y = x)", "SELECT x FROM not_in_a WHERE x + 1 NOT IN (SELECT y FROM not_in_b)"):
         assert sorted(map(str, execution.statement(spark, text).collect())) == sorted(map(str, spark.sql(text).collect()))
+
+
+def test_execution_accuracy_broadcasts_no_subquery(spark, no_small_sides):
+    found = registry.flagship(spark, SF)
+    assert joins_of(found) and not any("Broadcast" in line for line in joins_of(found))
+    matches = [r["exec_match"] for r in registry.queries()["exe1_set6_exec_match"](spark, SF).collect()]
+    assert tuple(found.first())[:2] == (len(matches), sum(matches))
