@@ -163,3 +163,45 @@ def test_execution_accuracy_broadcasts_no_subquery(spark, no_small_sides):
     assert joins_of(found) and not any("Broadcast" in line for line in joins_of(found))
     matches = [r["exec_match"] for r in registry.queries()["exe1_set6_exec_match"](spark, SF).collect()]
     assert tuple(found.first())[:2] == (len(matches), sum(matches))
+
+
+def plain_neighbours(rows, others, percent=45, most=5):
+    found = []
+    for i, a in rows:
+        scored = []
+        for j, b in others:
+            both, either = set(a or ()) & set(b or ()), set(a or ()) | set(b or ())
+            if None not in (i, j) and i != j and any(len(w) >= 3 and w not in overlap.STOP_WORDS for w in both) and 100 * len(both) >= percent * len(either):
+                scored.append((len(both) / len(either), j))
+        found += [(i, j, round(s, 9), k + 1) for k, (s, j) in enumerate(sorted(scored, reverse=True)[:most])]
+    return sorted(found)
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    from quarrylane.operators import tokensets
+
+    for name, value in (("BLOCK_ENTRIES", 300), ("FEW", 0), ("SHORT_CODES", 5), ("CHUNK", 3), ("INDEX", 7)):
+        monkeypatch.setattr(tokensets, name, value)
+
+
+@pytest.mark.parametrize("clashes", [1 << 20, -1])
+def test_token_jaccard_by_blocks(spark, small_blocks, monkeypatch, clashes):
+    from quarrylane.operators import tokensets
+
+    monkeypatch.setattr(tokensets, "MOST_CLASHES", clashes)
+    random = np.random.default_rng(5)
+    names = [f"tok{i}" for i in range(30)] + ["the", "of", "ab", "is", "éé"]
+    sets = [(f"r{i}", sorted({names[int(k)] for k in random.integers(0, 35, int(random.integers(0, 25)))})) for i in range(120)]
+    sets += [(f"copy{i}", names[3:20]) for i in range(40)] + [("stop", ["the", "of"]), ("stop2", ["the", "of"]), ("null", None), (None, names[3:20]), ("none", [])]
+    others = [(f"r{i + 100}", w) for i, (_, w) in enumerate(sets[:60])] + sets[130:]
+    df, more = (spark.createDataFrame(x, "id string, words array<string>").repartition(3) for x in (sets, others))
+    show = lambda d: sorted((r["id"], r["other"], round(r["jaccard"], 9), r["rank"]) for r in d.collect())
+    assert show(overlap.token_jaccard(df, df, overlap.STOP_WORDS)) == plain_neighbours(sets, sets)
+    assert show(overlap.token_jaccard(df, more, overlap.STOP_WORDS)) == plain_neighbours(sets, others)
+    assert overlap.token_jaccard(df.limit(0), df.limit(0), overlap.STOP_WORDS).collect() == []
+
+
+def test_token_jaccard_moves_no_candidate_pairs(spark, no_small_sides):
+    plan = registry.queries()["jn10_token_jaccard"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
