@@ -56,7 +56,7 @@ TOKENS_A_SYMBOL = 128
 #: Vectors of one block of averages, and shards averaged at once.
 BLOCK_ROWS, AVERAGED_AT_ONCE = 4096, 64
 #: Tokens scored at once, and rows of one product.
-SCORED_AT_ONCE, MULTIPLIED_AT_ONCE = 1 << 17, 1024
+SCORED_AT_ONCE, MULTIPLIED_AT_ONCE = 1 << 18, 512
 #: The key of the end token.
 END = np.int64(-0x5851F42D4C957F2D)
 SLICE_BYTES = 1 << 20
@@ -130,6 +130,12 @@ class Tokens:
         self.rest, self.classes, self.start = len(own), classes, len(own) + classes
         self.places = self.hashed(keys)
         self.places[own] = np.arange(len(own))
+        # Keys are hashes: their first bits nearly say where they are.  The first key of each value of these bits.
+        self.shift = np.uint64(63 - len(keys).bit_length())
+        self.first = np.searchsorted(self._bits(keys), np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
+
+    def _bits(self, words: np.ndarray) -> np.ndarray:
+        return (words.view(np.uint64) ^ np.uint64(1 << 63)) >> self.shift
 
     def hashed(self, words: np.ndarray) -> np.ndarray:
         return self.rest + words % self.classes
@@ -138,9 +144,18 @@ class Tokens:
         """Model places, and counts or -1."""
         if not len(self.keys):
             return self.hashed(words), np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        known = self.keys[at] == words
-        return np.where(known, self.places[at], self.hashed(words)), np.where(known, self.counts[at], -1)
+        last = len(self.keys) - 1
+        at = np.minimum(self.first[self._bits(words)], last)
+        key = self.keys[at]
+        on = np.flatnonzero(key < words)
+        while len(on := on[at[on] < last]):
+            at[on] += 1
+            key[on] = self.keys[at[on]]
+            on = on[key[on] < words[on]]
+        places, counts = self.places[at], self.counts[at]
+        unknown = np.flatnonzero(key != words)
+        places[unknown], counts[unknown] = self.hashed(words[unknown]), -1
+        return places, counts
 
     def row(self, words: Words, places: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All documents of a slice in a row, each as ``CONTEXT`` start symbols, its places and the end; and where words and ends are."""
@@ -154,10 +169,12 @@ class Tokens:
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
+    # Rows and their order in one number: the order of a stable sort, by a faster one.
+    order = np.sort((rows.astype(np.int64) << 32) | np.arange(len(rows)))
+    ordered = order >> 32
+    order &= (1 << 32) - 1
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[starts], np.add.reduceat(values[order], starts, axis=0)
+    return ordered[starts], np.add.reduceat(np.take(values, order, axis=0), starts, axis=0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -203,10 +220,15 @@ class Model:
         spare_groups = self.group_noise + np.float32(math.log(NOISE_GROUPS))
         spare = self.noise + np.float32(math.log(NOISE_MEMBERS))
 
+        def some(values: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+            return values if isinstance(at, slice) else np.take(values, at, axis=0)
+
         def move(part: str, at: np.ndarray | slice, gradient: np.ndarray, pace: float) -> None:
-            square = squares[part]
-            square[at] += gradient**2
-            getattr(self, part)[at] -= pace * gradient / np.sqrt(square[at])
+            value = getattr(self, part)
+            square = gradient**2
+            square += some(squares[part], at)
+            squares[part][at] = square
+            value[at] = some(value, at) - pace * gradient / np.sqrt(square)
 
         for step in range(steps):
             d = np.minimum(np.searchsorted(drawn, random.random(BATCH) * drawn[-1], "right"), len(sizes) - 1)
@@ -218,9 +240,9 @@ class Model:
             noise = np.searchsorted(self.chance, low[:, None] + random.random((BATCH, NOISE_MEMBERS)) * (high - low)[:, None], "right") - 1
             noise = np.clip(noise, group[:, None] * self.width, np.minimum((group + 1) * self.width, words)[:, None] - 1)
 
-            own = self.query[context]
+            own = some(self.query, context)
             c = np.einsum("bkd,kde->be", own, self.turn, optimize=True)
-            of_group, of_others, of_word, of_noise = self.group[group], self.group[others], self.answer[word], self.answer[noise]
+            of_group, of_others, of_word, of_noise = some(self.group, group), some(self.group, others), some(self.answer, word), some(self.answer, noise)
             miss_group = _sigmoid((c * of_group).sum(1) + self.group_bias[group] - spare_groups[group]) - 1
             miss_others = _sigmoid(c @ of_others.T + self.group_bias[others] - spare_groups[others])
             miss_word = _sigmoid((c * of_word).sum(1) + self.bias[word] - spare[word]) - 1
@@ -233,7 +255,7 @@ class Model:
             rows, gradient = _sums(np.concatenate([group, others]), np.concatenate([miss_group[:, None] * grown, miss_others.T @ grown]))
             move("group", rows, gradient[:, :-1], pace)
             move("group_bias", rows, gradient[:, -1], pace)
-            of_all = np.concatenate([miss_word[:, None, None] * grown[:, None], miss_noise[:, :, None] * grown[:, None]], 1)
+            of_all = np.concatenate([miss_word[:, None], miss_noise], 1)[:, :, None] * grown[:, None]
             rows, gradient = _sums(np.concatenate([word[:, None], noise], 1).ravel(), of_all.reshape(-1, DIMENSIONS + 1))
             move("answer", rows, gradient[:, :-1], pace)
             move("bias", rows, gradient[:, -1], pace)
@@ -245,47 +267,59 @@ class Model:
 
 
 class Scorer:
-    """A model ready to give log-probabilities: its context vectors are turned once, and biases are a component of vectors."""
+    """A model ready to give log-probabilities: context vectors are turned once, biases are a component of vectors, exponents are of two."""
 
     def __init__(self, model: Model):
-        wide = lambda v, b: np.ascontiguousarray(np.column_stack([v, b]).T.astype(np.float32))
-        self.turned = np.stack([model.query @ t for t in model.turn]).astype(np.float32)
-        self.answer, self.group, self.width = wide(model.answer, model.bias), wide(model.group, model.group_bias), model.width
+        wide = lambda v, b: np.ascontiguousarray((np.column_stack([v, b]) / math.log(2)).T.astype(np.float32))
+        # The first distance has a one for the bias.
+        self.turned = np.zeros((CONTEXT, len(model.query), DIMENSIONS + 1), np.float32)
+        for k in range(CONTEXT):
+            self.turned[k, :, :-1] = model.query @ model.turn[k]
+        self.turned[0, :, -1] = 1
+        self.group, self.width = wide(model.group, model.group_bias), model.width
+        starts = range(0, len(model.answer), self.width)
+        self.answer = [wide(model.answer[a : a + self.width], model.bias[a : a + self.width]) for a in starts]
+        # The longest vectors, which bound what products can reach.
+        self.longest = np.sqrt([float((v**2).sum(0).max()) for v in [*self.answer, self.group]])
 
     def logs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of places after their contexts (nearest first), normalised over all places."""
         out = np.zeros(len(word))
-        for a in range(0, len(word), SCORED_AT_ONCE):
-            before, w = context[a : a + SCORED_AT_ONCE], word[a : a + SCORED_AT_ONCE]
-            order = np.argsort(w // self.width, kind="stable")
-            before, w = before[order], w[order]
-            c = np.ones((len(w), DIMENSIONS + 1), np.float32)
-            c[:, :-1] = self.turned[0][before[:, 0]]
-            for k in range(1, CONTEXT):
-                c[:, :-1] += self.turned[k][before[:, k]]
+        most = min(MULTIPLIED_AT_ONCE, len(word))
+        c, more = np.empty((2, most, DIMENSIONS + 1), np.float32)
+        room = np.empty(most * max(self.width, self.group.shape[1]), np.float32)
+        for first in range(0, len(word), SCORED_AT_ONCE):
+            before, w = context[first : first + SCORED_AT_ONCE], word[first : first + SCORED_AT_ONCE]
             group = w // self.width
-            found = self._level(c, self.group, group)
-            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            for i, j in zip(starts, np.append(starts[1:], len(w))):
-                members = slice(int(group[i]) * self.width, (int(group[i]) + 1) * self.width)
-                found[i:j] += self._level(c[i:j], self.answer[:, members], w[i:j] - members.start)
-            out[a + order] = found
-        return np.minimum(out, 0)
+            order = np.argsort(group.astype(np.uint16) if len(self.answer) <= 1 << 16 else group, kind="stable")
+            before, group, member = [before[:, k][order] for k in range(CONTEXT)], group[order], (w - group * self.width)[order]
+            found = np.empty(len(w), np.float32)
+            for a in range(0, len(w), most):
+                part = slice(a, min(a + most, len(w)))
+                rows, other, g = c[: part.stop - a], more[: part.stop - a], group[part]
+                # Rows are taken by ``take``, many times faster than by an index.
+                np.take(self.turned[0], before[0][part], axis=0, out=rows, mode="clip")
+                for k in range(1, CONTEXT):
+                    rows += np.take(self.turned[k], before[k][part], axis=0, out=other, mode="clip")
+                length = math.sqrt(float(np.einsum("ij,ij->i", rows, rows).max()))
+                found[part] = self._level(rows, self.group, g, length * self.longest[-1], room)
+                edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+                for i, j in zip(edges[:-1], edges[1:]):
+                    k = int(g[i])
+                    found[a + i : a + j] += self._level(rows[i:j], self.answer[k], member[a + i : a + j], length * self.longest[k], room)
+            out[first + order] = found
+        return np.minimum(out * math.log(2), 0)
 
     @staticmethod
-    def _level(c: np.ndarray, vectors: np.ndarray, picked: np.ndarray) -> np.ndarray:
-        """Logarithms of a softmax over the columns of ``vectors``, by blocks that stay in the processor's cache."""
-        out = np.empty(len(c))
+    def _level(c: np.ndarray, vectors: np.ndarray, picked: np.ndarray, reach: float, room: np.ndarray) -> np.ndarray:
+        """Binary logarithms of a softmax over the columns of ``vectors``; no product is over ``reach``."""
+        logits = np.matmul(c, vectors, out=room[: len(c) * vectors.shape[1]].reshape(len(c), -1))
         # Where no product can reach the largest exponent, none has to be taken off.
-        reach = math.sqrt(float((c**2).sum(1).max()) * float((vectors**2).sum(0).max()))
-        for a in range(0, len(c), MULTIPLIED_AT_ONCE):
-            logits = c[a : a + MULTIPLIED_AT_ONCE] @ vectors
-            if reach > 60:
-                logits -= logits.max(1, keepdims=True)
-            mine = logits[np.arange(len(logits)), picked[a : a + MULTIPLIED_AT_ONCE]]
-            np.exp(logits, out=logits)
-            out[a : a + MULTIPLIED_AT_ONCE] = mine - np.log(logits.sum(1))
-        return out
+        if reach > 80:
+            logits -= logits.max(1, keepdims=True)
+        mine = logits[np.arange(len(c)), picked]
+        np.exp2(logits, out=logits)
+        return mine - np.log2(logits @ np.ones(vectors.shape[1], np.float32))
 
 
 def _held_out(documents: DataFrame, folds: int, held_out_fold: int, id_column: str) -> Column:
@@ -459,7 +493,6 @@ def score_with(fitted: Fitted, documents: DataFrame, held: Column, id_column: st
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, scorer, log_mass = shared.value
-        back_by = np.arange(1, CONTEXT + 1)
         end_place, end_count = (x[0] for x in own.find(np.array([END])))
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
@@ -476,8 +509,9 @@ def score_with(fitted: Fitted, documents: DataFrame, held: Column, id_column: st
                 columns[2].append(add(log_count) + (math.log10(end_count + 1) if end_count > 0 else 0))
                 of_rest = places >= own.rest
                 within = np.where(of_rest, log_count - log_mass[np.maximum(places - own.rest, 0)], 0)
-                of_words = add(scorer.logs(flat[at[:, None] - back_by], places) / ln10 + within)
-                of_ends = scorer.logs(flat[ends[:, None] - back_by], np.full(rows, end_place)) / ln10
+                before = lambda x: np.stack([flat[x - k] for k in range(1, CONTEXT + 1)]).T  # noqa: E731,B023
+                of_words = add(scorer.logs(before(at), places) / ln10 + within)
+                of_ends = scorer.logs(before(ends), np.full(rows, end_place)) / ln10
                 columns[3].append(of_words + of_ends - (0 if end_place < own.rest else log_mass[end_place - own.rest]))
                 bounds = np.searchsorted(words.document[rare], np.arange(rows + 1))
                 for a, b in zip(bounds[:-1], bounds[1:]):

@@ -3,18 +3,21 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarrylane.llm import jaccard_join, language_model, line_dedup, mixing, packing, quality_model, queries, repetition
 from quarrylane.llm.components import components
+from quarrylane.llm.shared import Words, text_buffers
 from tests.llm.conftest import ODD, SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -530,6 +533,71 @@ def test_language_model_is_normalised():
     assert np.allclose(np.exp(logs).reshape(5, 37).sum(1), 1, atol=1e-4)
 
 
+def plain_level(c, vectors, bias, picked):
+    """Logarithms of a softmax, 1024 rows at once."""
+    out = np.empty(len(c))
+    for a in range(0, len(c), 1024):
+        logits = c[a : a + 1024] @ vectors.T + bias
+        mine = logits[np.arange(len(logits)), picked[a : a + 1024]]
+        out[a : a + 1024] = mine - np.log(np.exp(logits).sum(1))
+    return out
+
+
+def plain_logs(model, turned, context, word):
+    """``Scorer.logs`` by rows taken by an index, natural exponents and sums, a group at a time."""
+    out, group = np.empty(len(word)), word // model.width
+    order = np.argsort(group, kind="stable")
+    c = np.zeros((len(word), language_model.DIMENSIONS), np.float32)
+    for k in range(language_model.CONTEXT):
+        c += turned[k][context[order, k]]
+    found = plain_level(c, model.group, model.group_bias, group[order])
+    edges = np.searchsorted(group[order], np.arange(model.groups + 1))
+    for g, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+        members = slice(g * model.width, (g + 1) * model.width)
+        found[i:j] += plain_level(c[i:j], model.answer[members], model.bias[members], word[order[i:j]] - members.start)
+    out[order] = found
+    return out
+
+
+def test_language_model_scores_faster_than_plainly():
+    random, words = np.random.default_rng(6), 40_000
+    unigram = 1 / np.arange(1, words + 1)
+    model = language_model.Model(unigram / unigram.sum())
+    scorer, turned = language_model.Scorer(model), np.stack([model.query @ t for t in model.turn])
+    word = np.minimum((words ** random.random(60_000)).astype(np.int64), words - 1)
+    context = np.stack([np.roll(word, k) for k in range(1, language_model.CONTEXT + 1)]).T.astype(np.int32)
+    took, found = {}, {}
+    for name, logs in [("plain", lambda: plain_logs(model, turned, context, word)), ("scorer", lambda: scorer.logs(context, word))] * 5:
+        began = time.process_time()
+        found[name] = logs()
+        took[name] = min(took.get(name, math.inf), time.process_time() - began)
+    assert np.allclose(found["plain"], found["scorer"], atol=1e-4)
+    assert took["scorer"] < 0.8 * took["plain"]
+
+
+def test_language_model_finds_words():
+    random = np.random.default_rng(7)
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    # Many keys that begin with the same bits, and the first and the last there are.
+    keys = np.unique(np.concatenate([random.integers(low, high, 500), np.arange(300), [low, high]]))
+    counts, own = random.integers(1, 99, len(keys)), random.permutation(len(keys))[:100]
+    for n in (0, 1, 2, len(keys)):
+        tokens = language_model.Tokens(keys[:n], counts[:n], own[own < n], 7)
+        place = {int(keys[i]): p for p, i in enumerate(own[own < n])}
+        count = {int(k): int(c) for k, c in zip(keys[:n], counts[:n])}
+        words = np.concatenate([keys, random.integers(low, high, 500), np.arange(-9, 310)])
+        places, found = tokens.find(words)
+        assert found.tolist() == [count.get(w, -1) for w in words.tolist()]
+        assert places.tolist() == [place.get(w, tokens.rest + w % 7) for w in words.tolist()]
+
+
+def test_word_hashes_at_the_end_of_the_table():
+    texts = ["a" * n + " " + "É" * (n // 2) + "Z" for n in (1, 2, 62, 63, 64, 65, 66, 129, 400)] + ["", "  ", "b"]
+    data, offsets = text_buffers(pa.array(texts))
+    words = Words(data, offsets, lower=True)
+    assert words.hash.tolist() == [plain_word_hash(w) for t in texts for w in WORD.findall(lowered(t))]
+
+
 def test_language_model_learns_from_every_place_of_its_context():
     random = np.random.default_rng(4)
     # The next word is fixed by the word two before it.
