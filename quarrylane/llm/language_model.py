@@ -241,7 +241,8 @@ class Model:
             noise = np.clip(noise, group[:, None] * self.width, np.minimum((group + 1) * self.width, words)[:, None] - 1)
 
             own = some(self.query, context)
-            c = np.einsum("bkd,kde->be", own, self.turn, optimize=True)
+            own = own.reshape(BATCH, -1)
+            c = own @ self.turn.reshape(-1, DIMENSIONS)
             of_group, of_others, of_word, of_noise = some(self.group, group), some(self.group, others), some(self.answer, word), some(self.answer, noise)
             miss_group = _sigmoid((c * of_group).sum(1) + self.group_bias[group] - spare_groups[group]) - 1
             miss_others = _sigmoid(c @ of_others.T + self.group_bias[others] - spare_groups[others])
@@ -259,8 +260,8 @@ class Model:
             rows, gradient = _sums(np.concatenate([word[:, None], noise], 1).ravel(), of_all.reshape(-1, DIMENSIONS + 1))
             move("answer", rows, gradient[:, :-1], pace)
             move("bias", rows, gradient[:, -1], pace)
-            of_query = np.einsum("be,kde->bkd", back, self.turn, optimize=True)
-            of_turn = np.einsum("bkd,be->kde", own, back, optimize=True) / BATCH
+            of_query = back @ self.turn.reshape(-1, DIMENSIONS).T
+            of_turn = (own.T @ back).reshape(self.turn.shape) / BATCH
             rows, gradient = _sums(context.ravel(), of_query.reshape(-1, DIMENSIONS))
             move("query", rows, gradient, pace)
             move("turn", slice(None), of_turn, pace)
@@ -279,8 +280,9 @@ class Scorer:
         self.group, self.width = wide(model.group, model.group_bias), model.width
         starts = range(0, len(model.answer), self.width)
         self.answer = [wide(model.answer[a : a + self.width], model.bias[a : a + self.width]) for a in starts]
-        # The longest vectors, which bound what products can reach.
-        self.longest = np.sqrt([float((v**2).sum(0).max()) for v in [*self.answer, self.group]])
+        # The largest product is within these bounds: the size of the largest bias, and the longest vector times the context's length.
+        self.largest = np.array([abs(float(v[-1].max())) for v in [*self.answer, self.group]])
+        self.longest = np.sqrt([float((v[:-1] ** 2).sum(0).max()) for v in [*self.answer, self.group]])
 
     def logs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of places after their contexts (nearest first), normalised over all places."""
@@ -301,21 +303,23 @@ class Scorer:
                 np.take(self.turned[0], before[0][part], axis=0, out=rows, mode="clip")
                 for k in range(1, CONTEXT):
                     rows += np.take(self.turned[k], before[k][part], axis=0, out=other, mode="clip")
-                length = math.sqrt(float(np.einsum("ij,ij->i", rows, rows).max()))
-                found[part] = self._level(rows, self.group, g, length * self.longest[-1], room)
+                # Without the one for the bias.
+                length = math.sqrt(max(float(np.einsum("ij,ij->i", rows, rows).max()) - 1, 0))
+                reach = self.largest + length * self.longest
+                found[part] = self._level(rows, self.group, g, reach[-1], room)
                 edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
                 for i, j in zip(edges[:-1], edges[1:]):
                     k = int(g[i])
-                    found[a + i : a + j] += self._level(rows[i:j], self.answer[k], member[a + i : a + j], length * self.longest[k], room)
+                    found[a + i : a + j] += self._level(rows[i:j], self.answer[k], member[a + i : a + j], reach[k], room)
             out[first + order] = found
         return np.minimum(out * math.log(2), 0)
 
     @staticmethod
     def _level(c: np.ndarray, vectors: np.ndarray, picked: np.ndarray, reach: float, room: np.ndarray) -> np.ndarray:
-        """Binary logarithms of a softmax over the columns of ``vectors``; no product is over ``reach``."""
+        """Binary logarithms of a softmax over the columns of ``vectors``; the largest product of each row is within ``reach`` of zero."""
         logits = np.matmul(c, vectors, out=room[: len(c) * vectors.shape[1]].reshape(len(c), -1))
-        # Where no product can reach the largest exponent, none has to be taken off.
-        if reach > 80:
+        # Where the largest product is far from the largest and the least exponent, it does not have to be taken off.
+        if reach > 100:
             logits -= logits.max(1, keepdims=True)
         mine = logits[np.arange(len(c)), picked]
         np.exp2(logits, out=logits)
